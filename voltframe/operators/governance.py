@@ -114,7 +114,7 @@ def release_ledger(
     )
     since = candidates.join(first, keys).filter(at >= F.col("_first")).select(*keys, order, "mae", "_first")
     records = _running_min_before(since, keys, bucket, [at], "mae").filter(
-        F.col("_floor").isNull() | (F.col("mae") < F.col("_floor"))
+        F.col("_floor").isNull() | (F.col("mae") <= F.col("_floor"))
     )
     schema = candidates.select(*keys, order).schema
     promoted = (

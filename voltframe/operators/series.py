@@ -153,6 +153,7 @@ def persistence_forecast(
         F.col("_slot"), F.lit(horizon_steps - 1).cast("int"), F.lit(steps_lag)
     )
     reaches = checked.filter(F.col("_slot") < horizon_steps)
+    steps = F.transform(repeats, lambda slot: slot + 1)
     return reaches.select(
-        *keys, (F.explode(repeats) + 1).alias("horizon_step"), F.col(value).cast("double").alias("forecast")
+        *keys, F.explode(steps).alias("horizon_step"), F.col(value).cast("double").alias("forecast")
     )

@@ -151,7 +151,7 @@ def load_as_events(
         F.lit(target).alias("event_type"),
         F.col("zone_key").alias("area"),
         start.alias("interval_start"),
-        F.timestamp_micros(F.unix_micros(start) + minutes * F.lit(60_000_000)).alias("interval_end"),
+        F.timestamp_micros(F.unix_micros(start) + minutes.cast("long") * F.lit(60_000_000)).alias("interval_end"),
         start.alias("published_at"),
         start.alias("ingested_at"),
         value.alias("value"),

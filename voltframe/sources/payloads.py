@@ -46,7 +46,10 @@ def market_points(documents: DataFrame, payload: str = "payload") -> DataFrame:
     points = periods.select(
         *names,
         "dimension",
-        F.try_to_timestamp("_p.timeInterval.start").alias("_start"),
+        # Period starts come without seconds, which a time stamp with an offset must have.
+        F.try_to_timestamp(
+            F.regexp_replace("_p.timeInterval.start", r"T(\d{2}:\d{2})(Z|[+-])", "T$1:00$2")
+        ).alias("_start"),
         F.try_element_at(seconds, F.col("_p.resolution")).alias("_seconds"),
         F.explode("_p.Point").alias("_pt"),
     ).filter(F.col("_start").isNotNull() & F.col("_seconds").isNotNull())
