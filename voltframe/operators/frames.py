@@ -151,18 +151,21 @@ def holdout_split(
     indexed = with_row_index(
         frame, keys=keys, bucket=time_bucket(ts), order=[ts], name="_idx", total="_n"
     )
-    n = F.col("_n")
+    return label_holdout(indexed, "_idx", "_n", lead=lead, fraction=fraction, live=live).drop("_idx", "_n")
+
+
+def label_holdout(
+    rows: DataFrame, index: str, total: str, *, lead: int = 0, fraction: float = 0.20, live: bool = False
+) -> DataFrame:
+    """``holdout_split`` for rows that already carry their index and the size of their series."""
+    i, n = F.col(index), F.col(total)
     if live:
         size = F.least(F.lit(288), F.greatest(F.lit(96), F.floor(n / 5)))
     else:
         size = F.floor(n * F.lit(fraction))
     start = n - size
-    part = (
-        F.when(F.col("_idx") >= start, "holdout")
-        .when(F.col("_idx") >= start - lead, "gap")
-        .otherwise("train")
-    )
-    return indexed.withColumn("split", part).drop("_idx", "_n")
+    part = F.when(i >= start, "holdout").when(i >= start - lead, "gap").otherwise("train")
+    return rows.withColumn("split", part)
 
 
 def dual_training_rows(long_rows: DataFrame, short_rows: DataFrame, *, keys: Sequence[str]) -> DataFrame:

@@ -16,30 +16,37 @@ ORACLE: dict[str, str] = {}
 Tables = "voltframe.workload.tables.Tables"
 
 
-def register(name: str, sql: str | None = None, digits: int = 6, doubles: str = ""):
-    """Register a query taking ``Tables``; ``doubles`` names the SQL columns to round alike."""
+def register(
+    name: str, sql: str | None = None, digits: int = 6, doubles: str = "", coarse: str = "", coarse_digits: int = 6
+):
+    """Register a query taking ``Tables``.
+
+    Results are rounded so that summation order cannot show: ``doubles`` names the SQL columns to
+    round to ``digits`` places, ``coarse`` those of large magnitude to ``coarse_digits``.
+    """
+    places = {c: coarse_digits for c in coarse.split()}
 
     def wrap(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             from voltframe.workload.tables import Tables
 
-            return rounded(function(Tables(configure(spark), sf_dir)), digits)
+            return rounded(function(Tables(configure(spark), sf_dir)), digits, places)
 
         run.__name__, run.__doc__ = name, function.__doc__
         QUERIES[name] = run
         if sql is not None:
-            names = doubles.split()
-            replaced = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in names)
+            names = [*doubles.split(), *places]
+            replaced = ", ".join(f"round({c}, {places.get(c, digits)}) + 0.0 AS {c}" for c in names)
             ORACLE[name] = f"SELECT * REPLACE ({replaced}) FROM ({sql}) AS result" if names else sql
         return function
 
     return wrap
 
 
-def rounded(df: DataFrame, digits: int) -> DataFrame:
+def rounded(df: DataFrame, digits: int, places: dict[str, int]) -> DataFrame:
     return df.select(
         *[
-            (F.round(F.col(f"`{f.name}`"), digits) + F.lit(0.0)).alias(f.name)
+            (F.round(F.col(f"`{f.name}`"), places.get(f.name, digits)) + F.lit(0.0)).alias(f.name)
             if isinstance(f.dataType, T.DoubleType)
             else F.col(f"`{f.name}`")
             for f in df.schema
