@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voltframe.functions.timegrid import calendar_columns
 from voltframe.functions.metrics import evaluate as evaluate_columns
 from voltframe.operators import asof, backtest, calibration, evaluate, features, frames, learners, monitoring, series
+from voltframe.session import durable
 from voltframe.workload.history import CALENDAR_SQL
 from voltframe.workload.registry import register
 from voltframe.workload.tables import AREA, DAILY, LEARNERS, PLAN, SERIES, SERIES_KEYS, TYPED
@@ -691,9 +692,9 @@ NUMERIC = [c for c in features.ALL_FEATURES if c not in ("quarter", "month", "is
 
 
 def learner_rows(t) -> tuple[DataFrame, DataFrame]:
-    """Training and holdout rows, written once per fit by MLlib's own caching."""
+    """Training and holdout rows; every boosting pass rereads them, so they are stored once."""
     rows = features.horizon_features(t.series, keys=SERIES_KEYS, lead=24, steps_per_day=24)
-    split = frames.holdout_split(rows, keys=SERIES_KEYS, lead=24).persist()
+    split = durable(frames.holdout_split(rows, keys=SERIES_KEYS, lead=24))
     return split.filter("split = 'train'").drop("split"), split.filter("split = 'holdout'").drop("split")
 
 
