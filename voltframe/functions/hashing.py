@@ -11,10 +11,9 @@ NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
 def iso_utc(ts: Column) -> Column:
     """ISO-8601 text with offset; fractional seconds only when present."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.date_format(ts, ".SSSSSS")
-    return F.concat(
-        whole, F.when(fraction == ".000000", "").otherwise(fraction), F.date_format(ts, "xxx")
+    whole = F.pmod(F.unix_micros(ts), F.lit(1_000_000)) == 0
+    return F.when(whole, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssxxx")).otherwise(
+        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
     )
 
 

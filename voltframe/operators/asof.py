@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from voltframe.plans.asof import asof_join
 from voltframe.plans.prefix_median import ROWS_PER_CHUNK, running_median
-from voltframe.plans.skew import HOUR_MICROS, time_bucket, with_row_index
+from voltframe.plans.skew import DAY_MICROS, time_bucket, with_row_index
+from voltframe.session import durable
 
 
 def _require(df: DataFrame, needed: Sequence[str], what: str) -> None:
@@ -28,7 +29,7 @@ def asof_values(
     *,
     by: Sequence[str] = (),
     value: str = "value",
-    bucket_micros: int = HOUR_MICROS,
+    bucket_micros: int = DAY_MICROS,
 ) -> DataFrame:
     """Each origin with the whole last measurement published at or before it, and ``is_missing``."""
     _require(measurements, ["published_at", "interval_start", value, *by], "measurements")
@@ -51,7 +52,7 @@ def asof_features(
     *,
     by: Sequence[str] = (),
     value: str = "value",
-    bucket_micros: int = HOUR_MICROS,
+    bucket_micros: int = DAY_MICROS,
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """``asof_values`` with missing values replaced by the median of all earlier publications.
@@ -68,20 +69,21 @@ def asof_features(
     joined = asof_values(measurements, origins, by=keys, value=value, bucket_micros=bucket_micros)
 
     ties = _ties(measurements)
-    numbered = with_row_index(
+    # Read several times below, so it is stored once instead of being recomputed.
+    numbered = durable(with_row_index(
         measurements.filter(F.col(value).isNotNull() & F.col("published_at").isNotNull()),
         keys=keys,
         bucket=time_bucket("published_at", bucket_micros),
         order=[F.col("published_at"), *[F.col(c) for c in ties]],
         name="seq",
-    ).select(*keys, F.col("published_at").alias("_known_at"), "seq", F.col(value).alias("_known_value"))
+    ).select(*keys, F.col("published_at").alias("_known_at"), "seq", F.col(value).alias("_known_value")))
     asked = (
         joined.filter("is_missing").select(*keys, F.col("forecast_origin").alias("_origin")).distinct()
     )
-    located = asof_join(
+    located = durable(asof_join(
         asked, numbered.drop("_known_value"), left_on="_origin", right_on="_known_at", by=keys,
         tie_break=["seq"], bucket_micros=bucket_micros,
-    ).filter(F.col("seq").isNotNull())
+    ).filter(F.col("seq").isNotNull()))
     medians = running_median(
         numbered, located.select(*keys, "seq").distinct(), keys=keys, value="_known_value",
         rows_per_chunk=rows_per_chunk,

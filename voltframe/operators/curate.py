@@ -7,9 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from voltframe.functions.hashing import business_key, iso_utc, run_identity
+from voltframe.operators.series import latest_by
 from voltframe.schemas import (
     DEAD_LETTER_TOPIC,
     EVENT_COLUMNS,
@@ -97,16 +97,8 @@ def on_time_events(valid: DataFrame, after: str = LATE_AFTER) -> DataFrame:
 
 
 def batch_winners(valid: DataFrame, keys: Sequence[str] = ("business_key",)) -> DataFrame:
-    """One row per business key: highest revision, then latest arrival.
-
-    ``row_number() = 1`` is limited per key before the shuffle, so copies of one key do not pile up.
-    """
-    order = Window.partitionBy(*keys).orderBy(
-        F.desc("revision"), F.desc("ingested_at"), F.asc("event_id")
-    )
-    return (
-        valid.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
-    )
+    """One row per business key: highest revision, then latest arrival, then greatest id."""
+    return latest_by(valid, keys, [F.col("revision"), F.col("ingested_at"), F.col("event_id")])
 
 
 def silver_view(log: DataFrame, batch: str = "batch_id") -> DataFrame:
@@ -115,10 +107,8 @@ def silver_view(log: DataFrame, batch: str = "batch_id") -> DataFrame:
     Same answer as "update only when strictly newer": the highest revision wins, and among equal
     revisions the batch stored first.
     """
-    order = Window.partitionBy("business_key").orderBy(
-        F.desc("revision"), F.asc(batch), F.desc("ingested_at"), F.asc("event_id")
-    )
-    return log.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
+    order = [F.col("revision"), -F.col(batch), F.col("ingested_at"), F.col("event_id")]
+    return latest_by(log, ["business_key"], order)
 
 
 def fold_batches(valid: DataFrame, batch: str = "batch_id") -> DataFrame:
@@ -134,14 +124,15 @@ def merge_latest(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return silver_view(log).drop("batch_id")
 
 
+def in_backfill(source: str, start: Column, end: Column) -> Column:
+    """Rows of one source whose interval starts in ``[start, end)``."""
+    at = F.col("interval_start")
+    return (F.col("source") == source) & (at >= start) & (at < end)
+
+
 def backfill_candidates(late: DataFrame, source: str, start: Column, end: Column) -> DataFrame:
-    """Late rows of one source in ``[start, end)``, deduplicated before they are merged."""
-    chosen = late.filter(
-        (F.col("source") == source)
-        & (F.col("interval_start") >= start)
-        & (F.col("interval_start") < end)
-    )
-    return batch_winners(chosen)
+    """Late rows of a backfill request, deduplicated before they are merged."""
+    return batch_winners(late.filter(in_backfill(source, start, end)))
 
 
 def backfill_run_id(source: str, start: str, end: str) -> tuple[Column, Column]:
@@ -156,9 +147,7 @@ def backfill_manifest(
     """Manifest row of a backfill; empty when the same run is already recorded."""
     run_id, checksum = backfill_run_id(source, start, end)
     lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    chosen = late.filter(
-        (F.col("source") == source) & (F.col("interval_start") >= lo) & (F.col("interval_start") < hi)
-    )
+    chosen = late.filter(in_backfill(source, lo, hi))
     row = chosen.agg(F.count(F.lit(1)).alias("record_count")).select(
         run_id.alias("run_id"),
         F.lit(source).alias("source"),

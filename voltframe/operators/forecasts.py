@@ -48,7 +48,7 @@ def upsert_by_natural_key(log: DataFrame, *, order: Sequence[str], keys: Sequenc
 
 def upsert_by_id(log: DataFrame, *, order: Sequence[str], key: str = "forecast_id") -> DataFrame:
     """Last write per id."""
-    return latest_by(log, [key], [F.desc(c) for c in order])
+    return latest_by(log, [key], [F.col(c) for c in order])
 
 
 def latest_issue(df: DataFrame, *, by: Sequence[str] = ("target", "area")) -> DataFrame:

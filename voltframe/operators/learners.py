@@ -29,6 +29,7 @@ from voltframe.operators.calibration import (
 from voltframe.operators.features import LONG_HORIZON_FEATURES, SHORT_HORIZON_FEATURES
 from voltframe.plans.skew import time_bucket, with_row_index
 from voltframe.schemas import unit_for_target
+from voltframe.session import durable
 
 QUANTILES = (0.1, 0.5, 0.9)
 QUANTILE_COLUMNS = ("p10", "p50", "p90")
@@ -52,17 +53,17 @@ def seasonal_quantiles(rows: DataFrame, *, keys: Sequence[str], target: str = "t
     )
 
 
-def predict_seasonal(rows: DataFrame, table: DataFrame, *, keys: Sequence[str]) -> DataFrame:
-    """Quantiles of the row's (hour, weekend) group, or of its hour where that group is unseen."""
-    by_hour = table.groupBy(*keys, "hour").agg(
-        *[
-            F.map_from_entries(
-                F.collect_list(F.struct(F.coalesce("is_weekend", F.lit(-1)), F.col(q)))
-            ).alias(f"_{q}")
-            for q in QUANTILE_COLUMNS
-        ]
+def hour_tables(table: DataFrame, *, keys: Sequence[str]) -> DataFrame:
+    """Seasonal quantiles as one row per hour: quantile maps keyed by weekend flag (-1 = any day)."""
+    flag = F.coalesce("is_weekend", F.lit(-1))
+    return table.groupBy(*keys, "hour").agg(
+        *[F.map_from_entries(F.collect_list(F.struct(flag, F.col(q)))).alias(f"_{q}") for q in QUANTILE_COLUMNS]
     )
-    joined = rows.join(by_hour, [*keys, "hour"], "left")
+
+
+def predict_from_hours(rows: DataFrame, hours: DataFrame, *, keys: Sequence[str]) -> DataFrame:
+    """Quantiles of the row's (hour, weekend) group, or of its hour where that group is unseen."""
+    joined = rows.join(hours, [*keys, "hour"], "left")
     picked = {
         q: F.coalesce(
             F.try_element_at(f"_{q}", F.col("is_weekend")), F.try_element_at(f"_{q}", F.lit(-1))
@@ -124,9 +125,9 @@ class QuantileForecaster:
             split = self.splitter(rows, keys=self.keys, fraction=calibration_fraction)
             self._fit_raw(split.filter(~F.col("is_calibration")).drop("is_calibration"))
             held = self.raw_quantiles(split.filter("is_calibration").drop("is_calibration"))
-            self.corrections = conformal_fit(held, keys=self.keys, actual="target").select(
-                *self.keys, "q_correction"
-            )
+            fitted = conformal_fit(held, keys=self.keys, actual="target")
+            # One row per series; stored, so predicting does not repeat the fit.
+            self.corrections = durable(fitted.select(*self.keys, "q_correction"))
         else:
             self._fit_raw(rows)
         return self
@@ -187,10 +188,10 @@ class SeasonalQuantileForecaster(QuantileForecaster):
     table: DataFrame
 
     def _fit_raw(self, rows: DataFrame) -> None:
-        self.table = seasonal_quantiles(rows, keys=self.keys)
+        self.table = durable(hour_tables(seasonal_quantiles(rows, keys=self.keys), keys=self.keys))
 
     def raw_quantiles(self, rows: DataFrame) -> DataFrame:
-        return predict_seasonal(rows, self.table, keys=self.keys)
+        return predict_from_hours(rows, self.table, keys=self.keys)
 
     def _save_raw(self, path: str) -> None:
         self.table.write.mode("errorifexists").parquet(f"{path}/raw")
@@ -218,10 +219,11 @@ class PooledRegressionForecaster(QuantileForecaster):
         assembler = VectorAssembler(inputCols=self.feature_names, outputCol="features")
         self.model = Pipeline(stages=[assembler, self._estimator()]).fit(rows)
         fitted = self._point(rows).withColumn("target", F.col("target") - F.col("prediction"))
-        self.residuals = seasonal_quantiles(
+        by_hour = seasonal_quantiles(
             fitted.select(*self.keys, "hour", F.lit(0).alias("is_weekend"), "target"), keys=self.keys
-        ).filter(F.col("is_weekend").isNull()).select(
-            *self.keys, "hour", F.col("p10").alias("_r10"), F.col("p90").alias("_r90")
+        ).filter(F.col("is_weekend").isNull())
+        self.residuals = durable(
+            by_hour.select(*self.keys, "hour", F.col("p10").alias("_r10"), F.col("p90").alias("_r90"))
         )
 
     def raw_quantiles(self, rows: DataFrame) -> DataFrame:

@@ -9,26 +9,38 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltframe.operators.curate import LATE_AFTER, accepted
 from voltframe.plans.skew import order_statistics, quantile_rank
+from voltframe.schemas import TOPICS
 
 STALE_SOURCE_SECONDS = 1800
 ERROR_RATIO_LIMIT = 1.2
 
 
-def ops_counters(messages: DataFrame, late: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Published by topic, late by source, rejected by reason as ``(metric, label, n)``."""
-    parts = [
-        (messages, "events_published", "topic"),
-        (late, "late_events", "source"),
-        (rejected, "dead_letter_events", "reason"),
-    ]
-    counted = [
-        df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(metric).alias("metric"), "label", "n"
+def ops_counters(parsed: DataFrame) -> DataFrame:
+    """Published by topic, late by source, rejected by reason as ``(metric, label, n)``.
+
+    Each parsed message yields the counters it belongs to, so all of them come from one pass.
+    """
+    ok = accepted("event")
+    topics = F.create_map(*[F.lit(x) for item in TOPICS.items() for x in item])
+    late = F.col("event.ingested_at") > F.col("event.interval_end") + F.expr(LATE_AFTER)
+
+    def counter(metric: str, label: Column) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), label.alias("label"))
+
+    counters = F.array_compact(
+        F.array(
+            F.when(ok, counter("events_published", F.try_element_at(topics, "event.event_type"))),
+            F.when(ok & late, counter("late_events", F.col("event.source"))),
+            F.when(~ok, counter("dead_letter_events", F.lit("schema_validation"))),
         )
-        for df, metric, label in parts
-    ]
-    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+    )
+    return (
+        parsed.select(F.explode(counters).alias("_c"))
+        .groupBy("_c.metric", "_c.label")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
 
 
 def source_freshness(events: DataFrame, now: Column, stale_after: int = STALE_SOURCE_SECONDS) -> DataFrame:

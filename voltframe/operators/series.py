@@ -15,17 +15,22 @@ from voltframe.schemas import WEATHER_DIMENSIONS
 FILL_LIMIT = 4
 
 
-def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row per key in ``order``; limited per key before the shuffle."""
-    spec = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(spec)).filter("_rank = 1").drop("_rank")
+def latest_by(df: DataFrame, keys: Sequence[str], by: Sequence[Column]) -> DataFrame:
+    """The row per key that is greatest by ``by`` (nulls lowest).
+
+    An aggregation: each task keeps one row per key before the shuffle, however often a key repeats.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(by)])
+    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
+    return newest.select(*keys, "_row.*").select(*df.columns)
 
 
 def latest_revision(
-    df: DataFrame, keys: Sequence[str], revision: str = "revision", ties: Sequence[Column] = ()
+    df: DataFrame, keys: Sequence[str], revision: str = "revision", ties: Sequence[str] = ()
 ) -> DataFrame:
-    """Newest revision per key (keys include the time stamp); ties settle by ``ties``."""
-    return latest_by(df, keys, [F.desc_nulls_last(revision), *ties])
+    """Newest revision per key (keys include the time stamp); ties settle by ``ties``, greatest wins."""
+    return latest_by(df, keys, [F.col(revision), *[F.col(c) for c in ties]])
 
 
 def events_to_series(
@@ -37,7 +42,7 @@ def events_to_series(
         chosen = chosen.filter(F.col("event_type") == target)
     quarters = expand_to_quarters(chosen)
     newest = latest_revision(
-        quarters, [*keys, "valid_time"], ties=[F.desc("ingested_at"), F.desc("event_id")]
+        quarters, [*keys, "valid_time"], ties=["ingested_at", "event_id"]
     )
     return newest.select(*keys, "valid_time", "value")
 
@@ -56,7 +61,7 @@ def weather_frame(
     newest = latest_revision(
         expand_to_quarters(chosen),
         [*keys, "valid_time", "dimension"],
-        ties=[F.desc("ingested_at"), F.desc("event_id")],
+        ties=["ingested_at", "event_id"],
     )
     return (
         newest.groupBy(*keys, "valid_time")

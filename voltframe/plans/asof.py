@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltframe.plans.skew import HOUR_MICROS, carry_forward, time_bucket
+from voltframe.plans.skew import DAY_MICROS, carry_forward, time_bucket
 
 
 def _null_struct_like(df: DataFrame, columns: Sequence[str]) -> Column:
@@ -28,7 +28,7 @@ def asof_join(
     right_on: str,
     by: Sequence[str] = (),
     tie_break: Sequence[str] = (),
-    bucket_micros: int = HOUR_MICROS,
+    bucket_micros: int = DAY_MICROS,
 ) -> DataFrame:
     """Left rows plus the columns of the last right row with ``right_on <= left_on`` in the same key.
 

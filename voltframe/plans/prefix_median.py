@@ -10,7 +10,7 @@ insertion inside each chunk finishes the work. Only chunks that hold a wanted ro
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -83,41 +83,76 @@ def running_median(
         )
     )
     fields = [f"`{k}` {work.schema[k].dataType.simpleString()}" for k in keys]
-    return work.groupBy(*keys, "_chunk").applyInPandas(
+    # Known values first, then the chunk's own rows in order; batches stream through each task.
+    ordered = work.repartition(*keys, "_chunk").sortWithinPartitions(
+        *keys, "_chunk", F.col(seq) >= 0, F.when(F.col(seq) < 0, F.col("_v")), seq
+    )
+    return ordered.mapInPandas(
         _chunk_medians(keys, seq), schema=", ".join([*fields, f"`{seq}` long", "running_median double"])
     )
 
 
+class _OrderedCounts:
+    """Sorted values with counts and a pointer that follows the median."""
+
+    def __init__(self) -> None:
+        self.values: list[float] = []
+        self.counts: list[int] = []
+        # ``at`` points at a value; ``under`` counts everything before it.
+        self.at, self.under = 0, 0
+
+    def load(self, v: float, count: int, below: float) -> None:
+        if not self.values:
+            self.under = int(below)
+        self.values.append(v)
+        self.counts.append(int(count))
+
+    def insert(self, v: float) -> None:
+        values, counts = self.values, self.counts
+        i = bisect_left(values, v)
+        if i < len(values) and values[i] == v:
+            counts[i] += 1
+            self.under += i < self.at
+        else:
+            values.insert(i, v)
+            counts.insert(i, 1)
+            if i <= self.at and len(values) > 1:
+                self.at, self.under = self.at + 1, self.under + 1
+
+    def median(self, position: int) -> float:
+        """Median once ``position + 1`` values have arrived in total."""
+        low, high = position // 2, (position + 1) // 2
+        while low < self.under:
+            self.at -= 1
+            self.under -= self.counts[self.at]
+        while low >= self.under + self.counts[self.at]:
+            self.under += self.counts[self.at]
+            self.at += 1
+        first = self.values[self.at]
+        inside = high < self.under + self.counts[self.at]
+        return (first + (first if inside else self.values[self.at + 1])) / 2.0
+
+
 def _chunk_medians(keys: list[str], seq: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf[pdf[seq] < 0].sort_values("_v")
-        own = pdf[pdf[seq] >= 0].sort_values(seq)
-        values, counts = known["_v"].tolist(), known["_c"].astype(int).tolist()
-        # ``at`` points into the ordered values; ``under`` counts everything before it.
-        at, under = 0, int(known["_below"].min()) if values else 0
-        out = []
-        for position, v, keep in zip(own[seq].tolist(), own["_v"].tolist(), own["_wanted"].tolist(), strict=True):
-            i = bisect_left(values, v)
-            if i < len(values) and values[i] == v:
-                counts[i] += 1
-                under += i < at
-            else:
-                values.insert(i, v)
-                counts.insert(i, 1)
-                if i <= at and len(values) > 1:
-                    at, under = at + 1, under + 1
-            low, high = position // 2, (position + 1) // 2
-            while low < under:
-                at -= 1
-                under -= counts[at]
-            while low >= under + counts[at]:
-                under += counts[at]
-                at += 1
-            if keep:
-                upper = values[at] if high < under + counts[at] else values[at + 1]
-                out.append((values[at] + upper) / 2.0)
-        result = own.loc[own["_wanted"], [*keys, seq]].copy()
-        result["running_median"] = out
-        return result
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, _OrderedCounts()
+        for pdf in batches:
+            chunks = zip(*[pdf[k] for k in (*keys, "_chunk")], strict=True)
+            columns = [pdf[c].tolist() for c in (seq, "_v", "_c", "_below", "_wanted")]
+            rows, medians = [], []
+            for i, (chunk, position, v, count, below, keep) in enumerate(zip(chunks, *columns, strict=True)):
+                if chunk != current:
+                    current, state = chunk, _OrderedCounts()
+                if position < 0:
+                    state.load(v, count, below)
+                    continue
+                state.insert(v)
+                middle = state.median(position)
+                if keep:
+                    rows.append(i)
+                    medians.append(middle)
+            result = pdf.iloc[rows][[*keys, seq]].copy()
+            result["running_median"] = medians
+            yield result
 
     return run

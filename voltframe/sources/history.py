@@ -84,7 +84,7 @@ def load_raw_table(df: DataFrame, *, keys: Sequence[str] = ("country_code", "zon
     by = [*[k for k in keys if k in df.columns], "timestamp_utc"]
     if "revision_number" not in df.columns:
         return chosen.dropDuplicates(by)
-    ties = [F.desc("record_id")] if "record_id" in df.columns else []
+    ties = ["record_id"] if "record_id" in df.columns else []
     return latest_revision(chosen, by, revision="revision_number", ties=ties)
 
 

@@ -37,7 +37,7 @@ def curator(lake: Lake, merge_into: str | None = None) -> Callable[[DataFrame, i
             write_batch(by_day(dead, "rejected_at", "day"), lake.dead_letters, batch_id, ["day"])
             valid = curate.valid_events(parsed)
             write_batch(curate.late_events(valid), lake.late, batch_id, [])
-            winners = curate.batch_winners(curate.on_time_events(valid))
+            winners = curate.batch_winners(valid.filter(~curate.is_late()))
             if merge_into:
                 winners.createOrReplaceTempView("incoming_winners")
                 batch.sparkSession.sql(merge_statement(merge_into, "incoming_winners"))

@@ -79,22 +79,23 @@ FOLDED = f"""{VALID},
 on_time AS (SELECT *, CAST(date_diff('day', TIMESTAMP '1970-01-01', date_trunc('day', ingested_at)) AS INTEGER) AS batch_id
   FROM valid WHERE NOT ({LATE})),
 winners AS (SELECT * FROM on_time QUALIFY row_number() OVER (PARTITION BY business_key, batch_id
-  ORDER BY revision DESC, ingested_at DESC, event_id) = 1)"""
+  ORDER BY revision DESC, ingested_at DESC, event_id DESC) = 1)"""
 
 
-def on_time_batches(t) -> DataFrame:
-    on_time = curate.on_time_events(valid(t))
-    return on_time.withColumn("batch_id", F.unix_date(F.to_date("ingested_at")))
+def daily_batches(t) -> DataFrame:
+    """On-time rows numbered by arrival day. Exact copies need no removal: one winner remains."""
+    day = F.unix_date(F.to_date("ingested_at"))
+    return valid(t).withColumn("batch_id", F.when(~curate.is_late(), day))
 
 
 @register(
     "merge_latest",
     f"""WITH {FOLDED} SELECT {EVENT_OUT}, batch_id FROM winners QUALIFY row_number() OVER (PARTITION BY business_key
-      ORDER BY revision DESC, batch_id, ingested_at DESC, event_id) = 1""",
+      ORDER BY revision DESC, batch_id, ingested_at DESC, event_id DESC) = 1""",
 )
 def merge_latest(t):
     """Silver state after daily batches: newer revisions replace, ties keep the stored row."""
-    merged = curate.fold_batches(on_time_batches(t))
+    merged = curate.fold_batches(daily_batches(t).filter(F.col("batch_id").isNotNull()))
     return merged.select(*out(merged).columns, "batch_id")
 
 
@@ -105,19 +106,17 @@ def merge_latest(t):
       AND interval_start >= TIMESTAMP '2024-01-08' AND interval_start < TIMESTAMP '2024-01-22'),
     log AS (SELECT {EVENT_OUT}, batch_id FROM winners UNION ALL
       SELECT {EVENT_OUT}, 1000000 AS batch_id FROM late QUALIFY row_number() OVER (PARTITION BY business_key
-        ORDER BY revision DESC, ingested_at DESC, event_id) = 1)
+        ORDER BY revision DESC, ingested_at DESC, event_id DESC) = 1)
     SELECT {EVENT_OUT} FROM log QUALIFY row_number() OVER (PARTITION BY business_key
-      ORDER BY revision DESC, batch_id, ingested_at DESC, event_id) = 1""",
+      ORDER BY revision DESC, batch_id, ingested_at DESC, event_id DESC) = 1""",
 )
 def backfill_merge(t):
     """Silver state after a bounded backfill of late rows is appended as one more batch."""
     source, start, end = BACKFILL
-    late = curate.late_events(valid(t))
-    chosen = curate.backfill_candidates(
-        late, source, F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    ).withColumn("batch_id", F.lit(1_000_000))
-    stored = curate.batch_winners(on_time_batches(t), ("business_key", "batch_id"))
-    return out(curate.silver_view(stored.unionByName(chosen)))
+    lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    chosen = curate.is_late() & curate.in_backfill(source, lo, hi)
+    batched = daily_batches(t).withColumn("batch_id", F.when(chosen, 1_000_000).otherwise(F.col("batch_id")))
+    return out(curate.fold_batches(batched.filter(F.col("batch_id").isNotNull())))
 
 
 @register(
@@ -161,11 +160,7 @@ def topic_route(t):
     UNION ALL SELECT 'dead_letter_events', 'schema_validation', count(*) FROM typed WHERE NOT coalesce({ACCEPTED}, FALSE)""",
 )
 def ops_counters(t):
-    parsed = curate.parse_bronze(t.bronze)
-    accepted = curate.valid_events(parsed)
-    return monitoring.ops_counters(
-        curate.to_messages(accepted), curate.late_events(accepted), curate.dead_letters(parsed, t.now)
-    )
+    return monitoring.ops_counters(curate.parse_bronze(t.bronze))
 
 
 @register(

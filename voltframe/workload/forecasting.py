@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voltframe.functions.timegrid import calendar_columns
 from voltframe.functions.metrics import evaluate as evaluate_columns
 from voltframe.operators import asof, backtest, calibration, evaluate, features, frames, learners, monitoring, series
+from voltframe.plans.skew import HOUR_MICROS
 from voltframe.session import durable
 from voltframe.workload.history import CALENDAR_SQL
 from voltframe.workload.registry import register
@@ -187,7 +188,9 @@ def asof_join(t):
 )
 def asof_join_all(t):
     """The same without keys: one global publication stream, still split by time bucket."""
-    joined = asof.asof_values(publications(t).drop("user_id"), origins(t).drop("user_id"))
+    joined = asof.asof_values(
+        publications(t).drop("user_id"), origins(t).drop("user_id"), bucket_micros=HOUR_MICROS
+    )
     return joined.select("origin_id", "published_at", "event_id", "value")
 
 
@@ -286,7 +289,8 @@ week AS (SELECT d.*, h.target AS w FROM (SELECT *, valid_time - INTERVAL 7 DAY A
 )
 def future_frame(t):
     """Scoring rows of each area's last day, from history that ends a day before it."""
-    target, weather = live_inputs(t)
+    # Both inputs are read by several lookups below.
+    target, weather = map(durable, live_inputs(t))
     cut = target.groupBy("area").agg(F.max("valid_time").alias("cut"))
     history = target.join(cut, "area").filter(
         F.col("valid_time") <= F.col("cut") - F.expr("INTERVAL 2 DAYS")

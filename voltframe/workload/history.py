@@ -35,7 +35,7 @@ def scan_filtered(t):
 )
 def latest_revision(t):
     rows = series.latest_revision(
-        t.history, [*ZONE_KEYS, "timestamp_utc"], "revision_number", [F.desc("record_id")]
+        t.history, [*ZONE_KEYS, "timestamp_utc"], "revision_number", ["record_id"]
     )
     return rows.select(*ZONE_KEYS, "timestamp_utc", "load", "revision_number", "record_id")
 
