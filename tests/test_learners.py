@@ -15,7 +15,7 @@ NAMES = ["hour", "lag_1h", "lag_24h"]
 @pytest.fixture(scope="module")
 def rows(spark):
     rng = np.random.default_rng(2)
-    n = 24 * 40
+    n = 24 * 30
     start = datetime(2025, 1, 1)
     parts = []
     for area, level in (("ES", 100.0), ("PT", 50.0)):
@@ -31,8 +31,8 @@ def rows(spark):
 
 @pytest.mark.parametrize("kind", ["seasonal", "boosted_trees", "random_forest", "robust_linear"])
 def test_quantiles_are_ordered_and_calibrated(spark, rows, kind):
-    options = {"boosted_trees": {"iterations": 3, "depth": 3}, "random_forest": {"trees": 4, "depth": 4}}.get(kind, {})
-    cut = datetime(2025, 2, 1)
+    options = {"boosted_trees": {"iterations": 2, "depth": 3}, "random_forest": {"trees": 3, "depth": 3}}.get(kind, {})
+    cut = datetime(2025, 1, 24)
     model = learners.create_forecaster(kind, keys=["area"], **options)
     model.fit(rows.filter(F.col("valid_time") < cut), feature_names=NAMES, calibration_fraction=0.2)
     held = rows.filter(F.col("valid_time") >= cut)
@@ -46,7 +46,7 @@ def test_quantiles_are_ordered_and_calibrated(spark, rows, kind):
 
 @pytest.mark.parametrize("kind", ["seasonal", "stacked", "dual_horizon"])
 def test_saved_model_predicts_the_same(spark, rows, tmp_path, kind):
-    small = {"iterations": 2, "depth": 2}
+    small = {"iterations": 1, "depth": 2}
     names = NAMES
     members = {
         "stacked": {"members": [learners.BoostedTreesForecaster(["area"], **small), learners.RandomForestForecaster(["area"], trees=2, depth=2), learners.SeasonalQuantileForecaster(["area"])]},
@@ -71,7 +71,7 @@ def test_period_split_is_strictly_later(spark, rows):
     split = learners.split_last_periods(rows.unionByName(rows), keys=["area"], fraction=0.15)
     bounds = split.groupBy("is_calibration").agg(F.min("valid_time").alias("lo"), F.max("valid_time").alias("hi"), F.countDistinct("valid_time").alias("n"))
     got = {r.is_calibration: r for r in bounds.collect()}
-    assert got[False].hi < got[True].lo and got[True].n == int(24 * 40 * 0.15)
+    assert got[False].hi < got[True].lo and got[True].n == int(24 * 30 * 0.15)
 
 
 def test_importances_and_factory(spark, rows):

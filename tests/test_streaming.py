@@ -165,3 +165,12 @@ def test_breach_state_survives_batches(spark, tmp_path):
     run()
     got = [(r.consecutive_breaches, r.rollback) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("window_start").collect()]
     assert got == [(1, False), (2, False), (3, True), (0, False), (1, False)]
+
+
+def test_silver_filters_prune_folders(spark, tmp_path, lake):
+    curated(spark, tmp_path, lake)
+    view = read_silver(spark, lake).filter((F.col("event_type") == "demand") & (F.col("day") == DAY.date()))
+    assert view.count() == 2
+    plan = view._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "event_type" in scan.split("PartitionFilters:")[1].split("PushedFilters")[0]

@@ -105,10 +105,12 @@ def silver_view(log: DataFrame, batch: str = "batch_id") -> DataFrame:
     """Current state of an append-only log of batch winners.
 
     Same answer as "update only when strictly newer": the highest revision wins, and among equal
-    revisions the batch stored first.
+    revisions the batch stored first. Event type and day follow from the key; grouping by them too
+    lets a filter on either prune the stored folders.
     """
+    folders = [c for c in ("event_type", "day") if c in log.columns]
     order = [F.col("revision"), -F.col(batch), F.col("ingested_at"), F.col("event_id")]
-    return latest_by(log, ["business_key"], order)
+    return latest_by(log, ["business_key", *folders], order)
 
 
 def fold_batches(valid: DataFrame, batch: str = "batch_id") -> DataFrame:

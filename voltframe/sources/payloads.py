@@ -126,12 +126,12 @@ def regional_weather(readings: DataFrame, weights: DataFrame | None = None) -> D
     """Weighted sum over stations per hour and dimension.
 
     Null readings are skipped without renormalising; ``weight_sum`` shows how much weight arrived.
-    The station table has a handful of fixed rows, so it is broadcast.
+    The built-in table has five fixed rows and is broadcast; for a table of one's own Spark decides.
     """
-    table = station_weights(readings.sparkSession) if weights is None else weights
+    table = F.broadcast(station_weights(readings.sparkSession)) if weights is None else weights
     return (
         readings.filter(F.col("value").isNotNull())
-        .join(F.broadcast(table.select("station", "weight")), "station")
+        .join(table.select("station", "weight"), "station")
         .groupBy("valid_time", "dimension")
         .agg(F.sum(F.col("value") * F.col("weight")).alias("value"), F.sum("weight").alias("weight_sum"))
     )

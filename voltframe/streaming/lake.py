@@ -81,8 +81,12 @@ def by_day(df: DataFrame, ts: str, name: str) -> DataFrame:
 
 
 def write_silver(winners: DataFrame, lake: Lake, batch_id: int) -> None:
-    """Winners land in (event_type, day) folders; a business key never leaves its folder."""
-    write_batch(by_day(winners, "interval_start", "day"), lake.silver_log, batch_id, ["event_type", "day"])
+    """Winners land in (event_type, day) folders; a business key never leaves its folder.
+
+    Rebalancing gathers each folder into few files and still splits a hot one.
+    """
+    rows = by_day(winners, "interval_start", "day").hint("rebalance", "event_type", "day")
+    write_batch(rows, lake.silver_log, batch_id, ["event_type", "day"])
 
 
 def silver_log(spark: SparkSession, lake: Lake) -> DataFrame | None:
@@ -115,6 +119,7 @@ def compact(spark: SparkSession, lake: Lake) -> int | None:
         return None
     upto = batches[-1]
     state = state.filter(F.col("batch_id") <= upto)
+    state = state.hint("rebalance", "event_type", "day")
     state.write.mode("overwrite").partitionBy("event_type", "day").parquet(f"{lake.compacted}/upto={upto}")
     return upto
 

@@ -131,7 +131,7 @@ class Tables:
         base = (F.unix_date(F.to_date("valid_time")) % 11).cast("double")
         spine = time_spine(self.hourly, keys=SERIES_KEYS, seconds=3600)
         return spine.join(self.hourly, [*SERIES_KEYS, "valid_time"], "left").select(
-            *SERIES_KEYS, "valid_time", (F.round(F.coalesce("_sum", F.lit(0.0)), 2) + base).alias("value")
+            *SERIES_KEYS, "valid_time", F.round(F.coalesce("_sum", F.lit(0.0)) + base, 2).alias("value")
         )
 
     @cached_property
@@ -311,8 +311,8 @@ hourly AS (SELECT event_type, {AREA} AS area, date_trunc('hour', ts) AS valid_ti
   FROM events GROUP BY 1, 2, 3),
 bounds AS (SELECT event_type, area, min(valid_time) AS lo, max(valid_time) AS hi FROM hourly GROUP BY 1, 2),
 spine AS (SELECT event_type, area, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS valid_time FROM bounds),
-series AS (SELECT event_type, area, valid_time, round(coalesce(s, 0.0), 2)
-    + CAST(date_diff('day', DATE '1970-01-01', CAST(valid_time AS DATE)) % 11 AS DOUBLE) AS value
+series AS (SELECT event_type, area, valid_time, round(coalesce(s, 0.0)
+    + CAST(date_diff('day', DATE '1970-01-01', CAST(valid_time AS DATE)) % 11 AS DOUBLE), 2) AS value
   FROM spine LEFT JOIN hourly USING (event_type, area, valid_time))"""
 
 LEARNERS = f"""{SERIES},
