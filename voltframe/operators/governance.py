@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voltframe.plans.skew import carry_forward, with_row_index
+from voltframe.plans.skew import carry_forward, gather, with_row_index
 
 MIN_IMPROVEMENT = 0.02
 MAX_SLICE_REGRESSION = 0.10
@@ -118,8 +118,7 @@ def release_ledger(
     )
     schema = candidates.select(*keys, order).schema
     promoted = (
-        records.select(*keys, order, "mae")
-        .repartition(*keys)
+        gather(records.select(*keys, order, "mae"), keys)
         .sortWithinPartitions(*keys, order)
         .mapInPandas(_promotions(keys, order, minimum_improvement), schema=schema)
         .withColumn("promoted", F.lit(True))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltframe.operators.curate import LATE_AFTER, accepted
-from voltframe.plans.skew import order_statistics, quantile_rank
+from voltframe.plans.skew import gather, order_statistics, quantile_rank
 from voltframe.schemas import TOPICS
 
 STALE_SOURCE_SECONDS = 1800
@@ -118,7 +118,7 @@ def snapshot_id(events: DataFrame, *, keys: Sequence[str], column: str = "payloa
     distinct = events.filter(F.col(column).isNotNull() & (F.col(column) != "")).select(*keys, column).distinct()
     fields = [f"`{k}` {distinct.schema[k].dataType.simpleString()}" for k in keys]
     return (
-        distinct.repartition(*keys)
+        gather(distinct, keys)
         .sortWithinPartitions(*keys, column)
         .mapInPandas(_digest(keys, column), schema=", ".join([*fields, "digest string", "checksums long"]))
         .select(

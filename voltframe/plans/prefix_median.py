@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voltframe.plans.skew import value_bucket
+from voltframe.plans.skew import gather, value_bucket
 
 ROWS_PER_CHUNK = 20_000
 
@@ -84,7 +84,7 @@ def running_median(
     )
     fields = [f"`{k}` {work.schema[k].dataType.simpleString()}" for k in keys]
     # Known values first, then the chunk's own rows in order; batches stream through each task.
-    ordered = work.repartition(*keys, "_chunk").sortWithinPartitions(
+    ordered = gather(work, [*keys, "_chunk"]).sortWithinPartitions(
         *keys, "_chunk", F.col(seq) >= 0, F.when(F.col(seq) < 0, F.col("_v")), seq
     )
     return ordered.mapInPandas(

@@ -37,6 +37,15 @@ def _keyed(keys: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*[F.col(k) for k in keys])
 
 
+def gather(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bring equal keys into one partition for a per-partition task.
+
+    Partitioning by a hash expression is never mistaken for a partitioning the input already has,
+    so neither the planner nor adaptive execution drops this exchange.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def carry_forward(
     df: DataFrame,
     *,

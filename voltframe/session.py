@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # A union must not promise a partitioning that adaptive execution may later undo below it.
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voltframe.operators import curate, monitoring
 from voltframe.workload.registry import register
-from voltframe.workload.tables import ACCEPTED, BUSINESS_KEY, NOW, TYPED, VALID
+from voltframe.workload.tables import ACCEPTED, NOW, TYPED, VALID
 
 EVENT_OUT = """business_key, event_id, source, event_type, area, interval_start, interval_end, published_at,
   ingested_at, value, unit, revision, quality_status, dimension, payload_checksum"""

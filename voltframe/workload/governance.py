@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voltframe.operators import forecasts, governance, monitoring
-from voltframe.plans.skew import time_bucket
+from voltframe.plans.skew import DAY_MICROS, lagged, time_bucket
 from voltframe.workload.registry import register
 from voltframe.workload.tables import CANDIDATES, NOW, WINDOWS, WRITES
 
@@ -101,12 +101,12 @@ PREVIOUS = "lag(mae) OVER (PARTITION BY area, target ORDER BY evaluated_at)"
     SELECT *, reason = 'promotion criteria satisfied' AS promote FROM reasons""",
 )
 def promotion_gate(t):
-    """Every candidate against the day before, with two slice regressions."""
-    day = F.expr("INTERVAL 1 DAY")
-    before = t.candidates.select(
-        "area", "target", (F.col("evaluated_at") + day).alias("evaluated_at"), F.col("mae").alias("champion")
-    )
-    paired = t.candidates.join(before, ["area", "target", "evaluated_at"])
+    """Every candidate against the one before it, with two slice regressions."""
+    at = F.col("evaluated_at")
+    paired = lagged(
+        t.candidates, keys=PRODUCT, bucket=time_bucket(at, 30 * DAY_MICROS), order=[at], value=F.col("mae"),
+        name="champion",
+    ).filter(F.col("champion").isNotNull())
     slices = F.array(F.col("mae") - 40.0, (F.col("mae") % 10) / 60.0)
     gate = governance.promotion_gate(F.col("champion"), F.col("mae"), slices)
     return paired.withColumns(gate).select("area", "target", "evaluated_at", "reason", "promote")
@@ -136,7 +136,7 @@ released AS (SELECT area, target, product, evaluated_at, version, mae, baseline_
 
 def ledger(t):
     return governance.release_ledger(
-        t.candidates, keys=PRODUCT, order="evaluated_at", bucket=time_bucket("evaluated_at", 30 * 86_400_000_000)
+        t.candidates, keys=PRODUCT, order="evaluated_at", bucket=time_bucket("evaluated_at", 30 * DAY_MICROS)
     )
 
 
