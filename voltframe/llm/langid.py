@@ -176,7 +176,7 @@ def label_words(texts: list[str | None], model: Model, cache: Generations) -> tu
             words += chain
             sizes.append(len(chain))
             owner.append(row)
-    if not words:
+    if not words or not model.labels:
         return np.zeros((0, len(model.labels))), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def emissions(unknown: list[str]) -> list[bytes]:

@@ -26,7 +26,7 @@ def document_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, m
             F.posexplode(F.split(text, "\n", -1)).alias("_pos", "_line"),
         )
         .filter(F.length("_line") >= min_chars)
-        .select("_k1", "_k2", "_id", "_pos", "_site", F.xxhash64("_line").alias("_h1"), F.xxhash64(F.lit(7), "_line").alias("_h2"))
+        .select("_k1", "_k2", "_id", "_pos", "_site", F.length("_line").alias("_chars"), F.xxhash64("_line").alias("_h1"), F.xxhash64(F.lit(7), "_line").alias("_h2"))
     )
 
 
@@ -68,29 +68,35 @@ def drop_boilerplate(
     """All columns of ``docs`` plus ``clean_text, n_lines, n_removed``.
 
     A line of at least ``min_chars`` characters that stands on at least ``min_sites`` distinct sites is removed
-    everywhere but at its first place (smallest id, then position), so no content vanishes from the corpus. Lines
-    are compared as they are, by 128 bits of hash. A null site is a site of its own, null text gives null clean text
+    everywhere but at its first place (smallest id, then position), so no content vanishes from the corpus. A document
+    of which such lines make up more than half of the characters is a copy rather than a page with boilerplate; it
+    stays whole, for document deduplication to judge. Lines are compared as they are, by 128 bits of hash. A null site is a site of its own, null text gives null clean text
     and no line, an empty text is one empty line. Rows that repeat id and text are one document. Empty tables
     give an empty result.
     """
     lines = document_lines(docs, id_col, text_col, site_col, min_chars)
     flagged = line_spread(lines, min_sites)
     total = flagged.agg(F.sum("_n")).first()[0] or 0
-    hits = spread_join(lines.select("_k1", "_k2", "_id", "_pos", "_h1", "_h2"), flagged, ["_h1", "_h2"], "_n", total, F.col("_k1"))
+    hits = spread_join(lines.drop("_site"), flagged, ["_h1", "_h2"], "_n", total, F.col("_k1"))
     removed = (
-        hits.filter(F.col("_n").isNotNull() & ~F.struct("_id", "_pos").eqNullSafe(F.col("_first")))
+        hits.filter(F.col("_n").isNotNull())
+        .select("_k1", "_k2", "_pos", "_chars", F.struct("_id", "_pos").eqNullSafe(F.col("_first")).alias("_stays"))
+        .distinct()
         .groupBy("_k1", "_k2")
-        .agg(F.collect_set("_pos").alias("_removed"))
+        .agg(F.collect_list(F.when(~F.col("_stays"), F.col("_pos"))).alias("_removed"), F.sum("_chars").alias("_common"))
     )
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select("*", F.xxhash64(F.col(id_col), text).alias("_k1"), F.xxhash64(F.lit(7), text).alias("_k2"))
-    parts = F.split(F.col(text_col), "\n", -1)
+    own = F.col("_row")[text_col]
+    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.col(id_col), text).alias("_k1"), F.xxhash64(F.lit(7), text).alias("_k2"))
+    parts = F.split(own, "\n", -1)
     rest = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n")
+    # Null where no line goes; a null condition counts as false.
+    cut = (F.size("_removed") > 0) & (F.col("_common") * 2 <= F.length(own))
     return rows.join(removed, ["_k1", "_k2"], "left").select(
-        *docs.columns,
-        F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(rest).alias("clean_text"),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).alias("n_lines"),
-        F.coalesce(F.size("_removed"), F.lit(0)).alias("n_removed"),
+        *[F.col("_row")[c].alias(c) for c in docs.columns if c not in ("clean_text", "n_lines", "n_removed")],
+        F.when(cut, rest).otherwise(own).alias("clean_text"),
+        F.when(own.isNull(), 0).otherwise(F.size(parts)).alias("n_lines"),
+        F.when(cut, F.size("_removed")).otherwise(0).alias("n_removed"),
     )
 
 
@@ -109,14 +115,17 @@ WITH lines AS (
   SELECT line, min({{'d': doc_id, 'p': pos}}) AS first
   FROM lines WHERE length(line) >= {MIN_CHARS} GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}
 ), marked AS (
-  SELECT l.*, s.line IS NOT NULL AND {{'d': doc_id, 'p': pos}} <> s.first AS gone
+  SELECT l.*, s.line IS NOT NULL AS common, s.line IS NOT NULL AND {{'d': doc_id, 'p': pos}} <> s.first AS gone
   FROM lines l LEFT JOIN spread s USING (line)
 ), rest AS (
-  SELECT doc_id, count(*)::INT AS n_lines, (count(*) FILTER (gone))::INT AS n_removed,
+  SELECT doc_id, sum(CASE WHEN common THEN length(line) END) AS shared, (count(*) FILTER (gone))::INT AS gone,
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS t
   FROM marked GROUP BY doc_id
+), cut AS (
+  SELECT d.doc_id, d.text, r.t, r.gone, coalesce(r.gone > 0 AND r.shared * 2 <= length(d.text), false) AS cuts
+  FROM documents d LEFT JOIN rest r USING (doc_id)
 )
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
-       length(t)::INT AS clean_chars, sha256(t) AS clean_sha256
-FROM documents d LEFT JOIN rest USING (doc_id)
+SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0)::INT AS n_lines, (CASE WHEN cuts THEN gone ELSE 0 END)::INT AS n_removed,
+       length(CASE WHEN cuts THEN t ELSE text END)::INT AS clean_chars, sha256(CASE WHEN cuts THEN t ELSE text END) AS clean_sha256
+FROM cut
 """

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -10,7 +12,6 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,14 +26,25 @@ GROUP = 65536
 FAN = 16
 CARRY = 256
 SLACK = 16
-CACHE = 150_000
+CACHE = 400_000
 
 # White space for str.split that the tokenizer's pattern may see otherwise; such texts are encoded whole.
-ODD_SPACE = regex.compile("[\x1c-\x1f\x85]")
-# Chunks in which lower-casing and composition work letter by letter, so that the split pattern can be applied to them.
-PLAIN = regex.compile("[!-~À-ÖØ-öø-ÿ]+")
-# The split pattern is the tokenizer's own, a fixed value of its file.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
+# Characters that lower-case and compose one by one; in chunks of them the split pattern below finds what the tokenizer finds.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_CHUNKS = re.compile("[\n!-~À-ÖØ-öø-ÿ]*")
+# The tokenizer's split pattern over these characters, and the line end that parts chunks.
+SPLIT = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-zß-öø-ÿ0-9]+")
+# No id has four such bytes, and the last byte of an id is 0.
+PART = b"\xff\xff\xff\xff"
+
+
+def byte_letters() -> dict[int, str]:
+    """How byte-level tokenizers write characters above ASCII: a letter for each byte, printable ones being themselves."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    letter = {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
 class WordIds:
@@ -47,6 +59,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks = Generations(CACHE)
         self.words = Generations(CACHE)
@@ -54,13 +68,28 @@ class WordIds:
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of split words: the tokenizer's merges alone."""
+        out = []
+        for word in words:
+            ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]
+            out.append(struct.pack(f"<{len(ids)}I", *ids))
+        return out
+
     def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        plain = [PLAIN.fullmatch(c) is not None and not any(s in c for s in self.special) for c in chunks]
-        split = [SPLIT.findall(c.lower()) if p else () for c, p in zip(chunks, plain)]
-        flat = [w for words in split for w in words]
-        ids = iter(self.words.fill(flat, self.library)) if flat else iter(())
-        odd = iter(self.library([c for c, p in zip(chunks, plain) if not p]) if not all(plain) else ())
-        return [b"".join([next(ids) for _ in words]) if p else next(odd) for words, p in zip(split, plain)]
+        joined = "\n".join(chunks)
+        if not PLAIN_CHUNKS.fullmatch(joined) or any(s in joined for s in self.special):
+            plain = [c for c in chunks if PLAIN.fullmatch(c) and not any(s in c for s in self.special)]
+            if len(plain) < len(chunks):
+                known = dict(zip(plain, self._chunk_ids(plain))) if plain else {}
+                odd = [c for c in chunks if c not in known]
+                known.update(zip(odd, self.library(odd)))
+                return [known[c] for c in chunks]
+        words = SPLIT.findall(joined.lower())
+        distinct = list(set(words) - {"\n"})
+        ids = dict(zip(distinct, self.words.fill(distinct, self._word_ids)))
+        ids["\n"] = PART
+        return b"".join(map(ids.__getitem__, words)).split(PART)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if ODD_SPACE.search(t) else t.split() for t in texts]

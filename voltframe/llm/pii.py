@@ -18,7 +18,7 @@ IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 DATE = r"(?<![\w\-/])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w\-/]\d)(?!\d)"
 SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-CARD = r"(?<!\w)\d(?:[ \-]?\d){12,18}(?!\w)"
+CARD = r"(?<!\w)(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\w)"
 PHONE = r"(?<!\w)(?:\+?1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\w)|(?<!\w)\+\d(?:[ .\-()]{0,2}\d){7,14}(?!\w)"
 KEY = r"(?<!\w)(?:AKIA[0-9A-Z]{16}(?!\w)|(?:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?[0-9A-Za-z+/_\-]{8,64})"
 NUMBERS = {"ipv4": IPV4, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
@@ -321,28 +321,28 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = DEMO_KEY, i
     plan) is replaced by its image under a keyed permutation of all values of its form; the same value has the same
     pseudonym in every document, check digits stay right. Candidates that fail the check stay as they are.
     ``inverse`` with the same key restores the values. Null text gives null and 0 values.
-    Texts without digit or ``@`` are passed on unread by the patterns. Empty tables give an empty result.
+    Texts without a digit, ``@``, ``=``, ``:`` or ``AKIA`` cannot hold any of them. Empty tables give an empty result.
     """
-    text = F.col(text_col).cast("string")
+    text = F.col("_row")[text_col].cast("string")
     secret = F.lit(key)
-    found = docs.select(
-        "*",
-        F.when(text.rlike("[0-9@=:]"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).alias("_found"),
+    rows = docs.select(F.struct("*").alias("_row"))
+    found = rows.select(
+        "_row", F.when(text.rlike("[0-9@=:]|AKIA"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).alias("_found")
     )
     gaps = F.split(text, CANDIDATE, -1)
     masked = F.transform("_found", lambda m: F.struct(m.alias("m"), pseudonym(m, secret, inverse).alias("p")))
-    worked = found.select("*", F.when(F.size("_found") > 0, masked).alias("_masked"))
+    worked = found.select("_row", F.when(F.size("_found") > 0, masked).alias("_masked"))
     glued = F.array_join(
         F.flatten(F.zip_with(gaps, F.col("_masked"), lambda g, x: F.array(g, F.coalesce(x["p"], x["m"], F.lit(""))))), ""
     )
     return worked.select(
-        *docs.columns,
+        *[F.col("_row")[c].alias(c) for c in docs.columns if c not in ("masked_text", "n_values")],
         F.when(F.col("_masked").isNull(), text).otherwise(glued).alias("masked_text"),
-        F.coalesce(F.size(F.filter("_masked", lambda x: x["p"].isNotNull())), F.lit(0)).cast("int").alias("n_values"),
+        F.when(F.col("_masked").isNull(), 0).otherwise(F.size(F.filter("_masked", lambda x: x["p"].isNotNull()))).alias("n_values"),
     )
 
 
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal values replaced by linked pseudonyms."""
     masked = pseudonymise(documents(spark, sf_dir))
-    return masked.select("doc_id", F.col("masked_text").alias("text"), F.greatest("n_values", F.lit(0)).alias("n_values"))
+    return masked.select("doc_id", F.col("masked_text").alias("text"), "n_values")

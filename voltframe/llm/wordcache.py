@@ -21,12 +21,14 @@ class Generations:
         """Values of all words; ``make`` is asked once for the distinct words that nobody remembers."""
         found = list(map(self.young.get, words))
         if None in found:
-            missing = {w for w, v in zip(words, found) if v is None}
+            gaps = [i for i, v in enumerate(found) if v is None]
+            missing = {words[i] for i in gaps}
             fresh = {w: v for w in missing if (v := self.old.get(w)) is not None}
-            unknown = sorted(missing - fresh.keys())
+            unknown = [w for w in missing if w not in fresh] if fresh else list(missing)
             if unknown:
                 fresh.update(zip(unknown, make(unknown)))
-            found = [v if v is not None else fresh[w] for w, v in zip(words, found)]
+            for i in gaps:
+                found[i] = fresh[words[i]]
             self.young.update(fresh)
             if len(self.young) > self.limit:
                 self.old, self.young = self.young, {}
