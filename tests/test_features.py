@@ -131,3 +131,13 @@ def test_one_shuffle_serves_all_windows(spark):
     plan = features.history_features(df, keys=["area"], steps_per_day=96)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("Sort [") == 2
+
+
+@pytest.mark.parametrize("steps_per_day", [288, 1440])
+def test_moving_averages_have_no_limit_of_steps_per_day(spark, steps_per_day):
+    values = 1000 + np.random.default_rng(5).normal(size=steps_per_day * 2 + 37).cumsum()
+    df = make_series(spark, values, step=f"{86400 // steps_per_day}s")
+    got = collect(features.history_features(df, keys=["area"], steps_per_day=steps_per_day, groups=("ema",), rows_per_chunk=900))
+    known = pd.Series(values).shift(1)
+    for name, span in features.EMA_SPANS.items():
+        np.testing.assert_allclose(got[name].to_numpy(float), known.ewm(span=span).mean().to_numpy(), rtol=1e-9)

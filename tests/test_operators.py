@@ -341,3 +341,24 @@ def test_state_updates_touch_only_given_columns(spark):
     update = spark.createDataFrame([("demand", None), ("weather", 9.0)], "target string, error double")
     got = {r.target: (r.version, r.error) for r in governance.apply_updates(state, update, key="target").collect()}
     assert got == {"demand": ("v1", None), "price": ("p1", 2.0), "weather": (None, 9.0)}
+
+
+def test_latest_forecasts_keep_every_version_of_every_interval(spark):
+    import datetime as dt
+
+    start = dt.datetime(2025, 6, 1, tzinfo=dt.timezone.utc)
+    rows = [
+        (f"{v}-{i}", target, "ES", start, start + dt.timedelta(minutes=15 * i), f"v{v}", False)
+        for target in ("price", "demand")
+        for v in (1, 2)
+        for i in range(-8, 96)
+    ]
+    df = spark.createDataFrame(
+        rows, "forecast_id string, target string, area string, issue_time timestamp, valid_from timestamp, model_version string, is_shadow boolean"
+    )
+    from voltframe.operators import forecasts
+
+    assert forecasts.latest_forecasts(df).count() == 2 * 2 * 104
+    assert forecasts.day_ahead_prices(df, F.lit("2025-06-01").cast("date")).count() == 2 * 96
+    assert forecasts.demand_horizon(df, 2).count() == 2 * 8
+    assert forecasts.query_forecasts(df, "price", "ES", limit=3).count() == 2 * 3

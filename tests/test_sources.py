@@ -142,3 +142,14 @@ def test_forecast_projection_parses_flags(spark):
         [("f", "demand", "ES", now, now, now, 1.0, 1.0, 1.0, 1.0, "MW", "m", "v", "s", '["a","b"]', False)], columns
     )
     assert connectors.forecast_columns(df).collect()[0].quality_flags == ["a", "b"]
+
+
+def test_weather_events_are_accepted_by_curation(spark):
+    from voltframe.operators import curate
+    from voltframe.sources.payloads import weather_events
+
+    regional = spark.sql("SELECT timestamp'2025-01-01 00:00:00' valid_time, 'temperature_2m' dimension, 9.4D value")
+    at = F.lit("2025-01-01T00:05:00Z").cast("timestamp")
+    events = weather_events(regional, area="ES", retrieved_at=at, checksum=F.lit("c"))
+    assert curate.valid_events(events.select(F.struct("*").alias("event"))).count() == 1
+    assert events.head()["event_id"] == weather_events(regional, area="ES", retrieved_at=at, checksum=F.lit("c")).head()["event_id"]

@@ -174,3 +174,22 @@ def test_silver_filters_prune_folders(spark, tmp_path, lake):
     plan = view._jdf.queryExecution().executedPlan().toString()
     scan = next(line for line in plan.splitlines() if "FileScan" in line)
     assert "event_type" in scan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+
+
+def test_a_batch_in_flight_is_neither_read_nor_compacted(spark, tmp_path):
+    from voltframe.streaming import lake as lakes
+
+    lake = Lake(str(tmp_path / "lake"))
+    row = "business_key string, revision int, ingested_at timestamp, event_id string, event_type string, interval_start timestamp"
+    for n in (0, 1):
+        df = spark.sql(
+            f"SELECT 'k{n}' business_key, 1 revision, timestamp'2025-01-01' ingested_at, 'e{n}' event_id, 'demand' event_type, timestamp'2025-01-01' interval_start"
+        )
+        assert df.schema.names == [c.split()[0] for c in row.split(", ")]
+        lakes.write_silver(df, lake, n)
+    marker = tmp_path / "lake" / "silver" / "log" / "batch_id=1" / "_SUCCESS"
+    marker.rename(tmp_path / "waiting")
+    assert read_silver(spark, lake).count() == 1
+    assert compact(spark, lake) == 0
+    (tmp_path / "waiting").rename(marker)
+    assert sorted(r.business_key for r in read_silver(spark, lake).collect()) == ["k0", "k1"]

@@ -53,6 +53,7 @@ LONG_HORIZON_FEATURES = (
 
 # Smoothing span of each moving average, in steps.
 EMA_SPANS = {"ema_4step": 4, "ema_12step": 12}
+EMA_WEEK_ROWS, EMA_BLOCK_ROWS = 1300, 256
 
 
 def step_micros(steps_per_day: int) -> int:
@@ -210,8 +211,8 @@ def history_features(
         raise ValueError("lead must be positive")
     step = step_micros(steps_per_day)
     day, week = steps_per_day, 7 * steps_per_day
-    if "ema" in groups and week > 1300:
-        raise ValueError("moving averages support up to 168 steps per day")
+    # Growing weights over a whole week would leave the range of doubles; older blocks weigh less than its precision.
+    ema_rows = week if week <= EMA_WEEK_ROWS else EMA_BLOCK_ROWS
     staged = df.withColumn("_pos", grid_position("valid_time", step) if pos is None else pos)
     staged, chunk, own = with_halo_chunks(
         staged, "_pos", before=14 * day + lead - 1, rows_per_chunk=rows_per_chunk
@@ -221,6 +222,14 @@ def history_features(
         _Chunked.blocks(F.col("_pos"), day, week)
     )
     windows = _Chunked(keys, chunk, day, week)
+    ema_head, ema_back = windows.head("week"), windows.week_back
+    if "ema" in groups and ema_rows != week:
+        staged = staged.withColumn("_em", F.floor(F.col("_pos") / ema_rows))
+        ema_head = Window.partitionBy(*windows.parts, "_em").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+        def ema_back(n: int):
+            return Window.partitionBy(*windows.parts).orderBy("_em").rangeBetween(-n, -n)
+
     ordered = windows.ordered()
     v = F.col(value)
     out: list[str] = []
@@ -231,12 +240,12 @@ def history_features(
             running["_h_day"] = _moments(v, windows.head("day"), True)
             running["_h_week"] = _moments(v, windows.head("week"), False)
         if "ema" in groups:
-            offset = F.pmod(F.col("_pos"), F.lit(week)).cast("double")
+            offset = F.pmod(F.col("_pos"), F.lit(ema_rows)).cast("double")
             for name, span in EMA_SPANS.items():
                 keep = 1.0 - 2.0 / (span + 1.0)
                 grow = F.pow(F.lit(1.0 / keep), offset)
                 fade = F.pow(F.lit(keep), offset)
-                run = windows.head("week")
+                run = ema_head
                 running[f"_w_{name}"] = F.struct(
                     (fade * F.sum(v * grow).over(run)).alias("num"),
                     (fade * F.sum(F.when(v.isNotNull(), grow)).over(run)).alias("den"),
@@ -245,7 +254,7 @@ def history_features(
     if "ema" in groups:
         staged = staged.withColumns(
             {
-                f"_b{n}_{name}": F.max_by(F.col(f"_w_{name}"), F.col("_pos")).over(windows.week_back(n))
+                f"_b{n}_{name}": F.max_by(F.col(f"_w_{name}"), F.col("_pos")).over(ema_back(n))
                 for name in EMA_SPANS
                 for n in (1, 2)
             }
@@ -257,14 +266,14 @@ def history_features(
     elif "rolling" in groups:
         looked_up["lag_1h"] = F.lag(v, day // 24 + lead - 1).over(ordered)
     if "ema" in groups:
-        offset = F.pmod(F.col("_pos"), F.lit(week)).cast("double")
+        offset = F.pmod(F.col("_pos"), F.lit(ema_rows)).cast("double")
         for name, span in EMA_SPANS.items():
             keep = 1.0 - 2.0 / (span + 1.0)
 
             def total(part: str, name: str = name, keep: float = keep) -> Column:
                 back1 = F.coalesce(F.col(f"_b1_{name}")[part], F.lit(0.0))
                 back2 = F.coalesce(F.col(f"_b2_{name}")[part], F.lit(0.0))
-                carried = (back1 + back2 * F.lit(keep**week)) * F.pow(F.lit(keep), offset + 1)
+                carried = (back1 + back2 * F.lit(keep**ema_rows)) * F.pow(F.lit(keep), offset + 1)
                 return F.coalesce(F.col(f"_w_{name}")[part], F.lit(0.0)) + carried
 
             looked_up[name] = F.lag(F.try_divide(total("num"), total("den")), lead).over(ordered)

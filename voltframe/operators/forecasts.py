@@ -13,7 +13,6 @@ from voltframe.operators.series import latest_by
 from voltframe.schemas import FORECAST_KEY
 
 STALE_AFTER_SECONDS = 30 * 60
-DAY_LIMIT = 100
 
 
 def forecast_problem() -> Column:
@@ -61,26 +60,28 @@ def latest_forecasts(
     *,
     by: Sequence[str] = ("target", "area"),
     issue_time: Column | None = None,
-    limit: int = DAY_LIMIT,
+    limit: int | None = None,
     delivery_date: Column | None = None,
 ) -> DataFrame:
-    """Rows of the latest (or given) issue per product: first ``limit`` by time, then the date filter."""
+    """Rows of the latest (or given) issue per product, of one local delivery date if asked for.
+
+    ``limit`` keeps the first so many intervals of each product, with all their rows.
+    """
     published = df.filter(~F.col("is_shadow"))
     if issue_time is None:
         chosen = published.join(latest_issue(df, by=by), [*by, "issue_time"])
     else:
         chosen = published.filter(F.col("issue_time") == issue_time)
-    order = Window.partitionBy(*by).orderBy("valid_from", "model_version", "forecast_id")
-    limited = (
-        chosen.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit).drop("_rank")
-    )
-    if delivery_date is None:
-        return limited
-    return limited.filter(local_delivery_date(F.col("valid_from")) == delivery_date)
+    if delivery_date is not None:
+        chosen = chosen.filter(local_delivery_date(F.col("valid_from")) == delivery_date)
+    if limit is None:
+        return chosen
+    order = Window.partitionBy(*by).orderBy("valid_from")
+    return chosen.withColumn("_rank", F.dense_rank().over(order)).filter(F.col("_rank") <= limit).drop("_rank")
 
 
 def query_forecasts(
-    df: DataFrame, target: str, area: str, *, limit: int = DAY_LIMIT, **options: Column
+    df: DataFrame, target: str, area: str, *, limit: int | None = None, **options: Column
 ) -> DataFrame:
     """The single-product form of ``latest_forecasts``, ordered by time."""
     chosen = df.filter((F.col("target") == target) & (F.col("area") == area))
@@ -88,17 +89,19 @@ def query_forecasts(
 
 
 def demand_horizon(df: DataFrame, hours: int, **options) -> DataFrame:
-    """The next 1 to 6 hours of quarter-hour demand forecasts."""
+    """Demand of the latest issue in the 1 to 6 hours from each product's first interval, all model versions."""
     if not 1 <= hours <= 6:
         raise ValueError("hours must be between 1 and 6")
-    return latest_forecasts(df.filter(F.col("target") == "demand"), limit=hours * 4, **options)
+    by = list(options.get("by", ("target", "area")))
+    current = latest_forecasts(df.filter(F.col("target") == "demand"), **options)
+    first = current.groupBy(*by).agg(F.min("valid_from").alias("_first"))
+    near = F.col("valid_from") < F.col("_first") + F.make_interval(hours=F.lit(hours))
+    return current.join(first, by).filter(near).drop("_first")
 
 
 def day_ahead_prices(df: DataFrame, delivery_date: Column, **options) -> DataFrame:
-    """One local delivery day of prices; a clock-change day has up to 100 intervals."""
-    return latest_forecasts(
-        df.filter(F.col("target") == "price"), limit=DAY_LIMIT, delivery_date=delivery_date, **options
-    )
+    """One local delivery day of prices, all intervals and model versions."""
+    return latest_forecasts(df.filter(F.col("target") == "price"), delivery_date=delivery_date, **options)
 
 
 def with_staleness(df: DataFrame, now: Column, stale_after: int = STALE_AFTER_SECONDS) -> DataFrame:

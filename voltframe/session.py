@@ -60,11 +60,13 @@ def local_session(app: str = "voltframe-local", cpus: int | None = None) -> Spar
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage into reliable storage.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``. Only where that is unset
-    (tests) does this fall back to a scratch folder.
+    The cluster names a shared folder in ``spark.checkpoint.dir``. Only a local session (tests) may leave it
+    unset and gets a scratch folder.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="voltframe-ckpt-"))
     return df.checkpoint(eager=True)

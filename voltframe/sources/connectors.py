@@ -48,9 +48,16 @@ def write_kafka(messages: DataFrame, servers: str) -> None:
 
 def read_forecast_table(
     spark: SparkSession, url: str, table: str = "forecasts", *, partition_on: str = "id",
-    lower: int = 0, upper: int = 1_000_000, partitions: int = 16, **options: str
+    lower: int | None = None, upper: int | None = None, partitions: int = 16, **options: str
 ) -> DataFrame:
-    """Forecast rows over JDBC, read in parallel ranges of the numeric row id."""
+    """Forecast rows over JDBC, read in parallel ranges of the numeric row id.
+
+    Bounds that are not given are the table's own smallest and largest id.
+    """
+    if lower is None or upper is None:
+        query = f"SELECT min({partition_on}) AS lo, max({partition_on}) AS hi FROM {table}"
+        ends = spark.read.format("jdbc").options(url=url, query=query, **options).load().first()
+        lower, upper = (given if given is not None else int(end or 0) for given, end in zip((lower, upper), ends))
     reader = spark.read.format("jdbc").options(
         url=url, dbtable=table, partitionColumn=partition_on, lowerBound=str(lower),
         upperBound=str(upper), numPartitions=str(partitions), **options,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltframe.functions.hashing import iso_utc, uuid5_url
 from voltframe.schemas import EVENT_SCHEMA, STATION_SCHEMA, STATIONS, WEATHER_DIMENSIONS, WEATHER_UNITS
 
 # Period resolutions in seconds; other resolutions are skipped.
@@ -141,6 +142,9 @@ def weather_events(regional: DataFrame, *, area: str, retrieved_at: Column, chec
     units = F.create_map(*[F.lit(x) for item in WEATHER_UNITS.items() for x in item])
     return regional.select(
         F.lit("1.0").alias("schema_version"),
+        uuid5_url(
+            F.concat_ws("|", F.lit("open-meteo"), F.lit(area), "dimension", iso_utc(F.col("valid_time")), checksum)
+        ).alias("event_id"),
         F.lit("open-meteo").alias("source"),
         F.lit("weather").alias("event_type"),
         F.lit(area).alias("area"),

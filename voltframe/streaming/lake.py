@@ -61,7 +61,8 @@ def _matching(spark: SparkSession, pattern: str) -> list[str]:
 
 
 def _numbers(spark: SparkSession, pattern: str, label: str) -> list[int]:
-    return sorted(int(p.split(f"{label}=")[1].split("/")[0]) for p in _matching(spark, pattern))
+    """Numbers of the folders that are complete; a batch in flight has no success marker yet."""
+    return sorted(int(p.split(f"{label}=")[1].split("/")[0]) for p in _matching(spark, f"{pattern}/_SUCCESS"))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
@@ -92,7 +93,7 @@ def write_silver(winners: DataFrame, lake: Lake, batch_id: int) -> None:
 def silver_log(spark: SparkSession, lake: Lake) -> DataFrame | None:
     """All stored winners: the newest complete compaction plus every later batch."""
     batches = _numbers(spark, f"{lake.silver_log}/batch_id=*", "batch_id")
-    done = _numbers(spark, f"{lake.compacted}/upto=*/_SUCCESS", "upto")
+    done = _numbers(spark, f"{lake.compacted}/upto=*", "upto")
     upto = done[-1] if done else -1
     later = [f"{lake.silver_log}/batch_id={n}" for n in batches if n > upto]
     parts = []

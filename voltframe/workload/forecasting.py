@@ -150,7 +150,7 @@ def exog_join(t):
 
 
 def publications(t) -> DataFrame:
-    return t.events.filter("event_type = 'click'").select(
+    return t.events.filter("event_type <> 'view'").select(
         "user_id", F.col("ts").alias("published_at"), F.date_trunc("hour", "ts").alias("interval_start"),
         "event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"),
     )
@@ -165,7 +165,7 @@ def origins(t) -> DataFrame:
 
 ASOF = """
 pubs AS (SELECT user_id, ts AS published_at, event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value
-  FROM events WHERE event_type = 'click'),
+  FROM events WHERE event_type <> 'view'),
 origins AS (SELECT user_id, event_id AS origin_id, ts AS forecast_origin FROM events WHERE event_type = 'view')"""
 
 

@@ -50,7 +50,7 @@ def forecast_invalid(t):
 
 LATEST = f"""{WRITES}, latest AS (SELECT target, area, max(issue_time) AS issue_time FROM stored WHERE NOT is_shadow GROUP BY 1, 2),
 current AS (SELECT s.* FROM stored s JOIN latest USING (target, area, issue_time) WHERE NOT is_shadow
-  QUALIFY row_number() OVER (PARTITION BY target, area ORDER BY valid_from, model_version, forecast_id) <= 16)"""
+)"""
 
 
 @register(
@@ -61,12 +61,13 @@ current AS (SELECT s.* FROM stored s JOIN latest USING (target, area, issue_time
 )
 def latest_forecasts(t):
     """Rows of the latest published issue per target and area, with staleness."""
-    return forecasts.with_staleness(forecasts.latest_forecasts(stored(t), limit=16), t.now)
+    return forecasts.with_staleness(forecasts.latest_forecasts(stored(t)), t.now)
 
 
 @register(
     "demand_horizon",
-    f"WITH {LATEST.replace('<= 16', '<= 8')} SELECT {STORED_OUT} FROM current WHERE target = 'demand'",
+    f"""WITH {LATEST} SELECT {STORED_OUT} FROM current WHERE target = 'demand'
+    QUALIFY valid_from < min(valid_from) OVER (PARTITION BY target, area) + INTERVAL 2 HOUR""",
     doubles="point p10 p50 p90",
 )
 def demand_horizon(t):
@@ -76,13 +77,12 @@ def demand_horizon(t):
 
 @register(
     "day_ahead_prices",
-    f"""WITH {WRITES}, chosen AS (SELECT * FROM stored WHERE NOT is_shadow AND target = 'price' AND issue_time = TIMESTAMP '2024-01-20'
-      QUALIFY row_number() OVER (PARTITION BY target, area ORDER BY valid_from, model_version, forecast_id) <= 100)
+    f"""WITH {WRITES}, chosen AS (SELECT * FROM stored WHERE NOT is_shadow AND target = 'price' AND issue_time = TIMESTAMP '2024-01-20')
     SELECT {STORED_OUT} FROM chosen WHERE CAST((valid_from AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Madrid' AS DATE) = DATE '2024-01-20'""",
     doubles="point p10 p50 p90",
 )
 def day_ahead_prices(t):
-    """One local delivery day of one issue: limit first, then the local date."""
+    """One local delivery day of one issue."""
     return forecasts.day_ahead_prices(
         stored(t), F.lit("2024-01-20").cast("date"), issue_time=F.lit("2024-01-20").cast("timestamp")
     )

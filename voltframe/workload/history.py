@@ -371,7 +371,7 @@ def persistence_forecast(t):
     "stable_key",
     f"""WITH {TYPED} SELECT eid, sha256('["' || event_type || '","' || area || '","' ||
       strftime(date_trunc('day', interval_start), '%Y-%m-%dT%H:%M:%S') || '+00:00","' ||
-      strftime(interval_start, '%Y-%m-%dT%H:%M:%S') || '+00:00"]') AS stable_key FROM typed WHERE event_type <> 'unknown'""",
+      strftime(interval_start, '%Y-%m-%dT%H:%M:%S') || '+00:00"]') AS stable_key FROM typed""",
 )
 def stable_key(t):
     return t.forecast_writes.select(F.col("write_no").alias("eid"), hashing.forecast_stable_key().alias("stable_key"))

@@ -205,7 +205,7 @@ class Tables:
         """A log of forecast writes, many of them to the same natural key."""
         eid = F.col("eid")
         v = F.coalesce("value", F.lit(1.0))
-        return self.typed_events.filter(F.col("event_type") != "unknown").select(
+        return self.typed_events.select(
             F.concat(F.lit("f-"), F.lpad(eid.cast("string"), 12, "0")).alias("forecast_id"),
             F.col("event_type").alias("target"),
             "area",
@@ -350,7 +350,7 @@ writes AS (SELECT 'f-' || lpad(CAST(eid AS VARCHAR), 12, '0') AS forecast_id, ev
     CASE WHEN eid % 29 = 0 THEN coalesce(value, 1.0) + 1 ELSE coalesce(value, 1.0) * 0.8::DOUBLE END AS p10,
     coalesce(value, 1.0) AS p50, coalesce(value, 1.0) * 1.2::DOUBLE AS p90,
     'v' || CAST(eid % 2 AS VARCHAR) AS model_version, eid % 3 = 0 AS is_shadow, eid AS write_no
-  FROM typed WHERE event_type <> 'unknown'),
+  FROM typed),
 stored AS (SELECT arg_min(forecast_id, write_no) AS forecast_id, target, area, issue_time, valid_from, model_version,
     is_shadow, arg_max(valid_to, write_no) AS valid_to, arg_max(point, write_no) AS point,
     arg_max(p10, write_no) AS p10, arg_max(p50, write_no) AS p50, arg_max(p90, write_no) AS p90
