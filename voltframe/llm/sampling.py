@@ -22,7 +22,7 @@ ALPHA = 0.6
 # Zipf's law with this shift turns merge ranks into piece probabilities.
 ZIPF_SHIFT = 10.0
 UNRANKED = -1e6
-HELD_TYPES = 60_000
+HELD_TYPES = 120_000
 
 GOLDEN, MIX1, MIX2 = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -64,6 +64,7 @@ class PrefixTable:
     """
 
     BITS = 19
+    NONE = 1 << 40
 
     def __init__(self, pieces: dict[str, int]):
         prefixes: dict[int, int] = {}
@@ -71,15 +72,16 @@ class PrefixTable:
             h = 0
             for at, c in enumerate(text):
                 h = (h * 0x100000001B3 + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-                prefixes[h] = number if at + 1 == len(text) else prefixes.get(h, -1)
-        self.keys = np.zeros((2, 1 << self.BITS), dtype=np.uint64)
-        self.values = np.full((2, 1 << self.BITS), -1, dtype=np.int32)
+                prefixes[h] = number if at + 1 == len(text) else prefixes.get(h, self.NONE)
+        self.cells = np.zeros((2, 1 << self.BITS, 2), dtype=np.uint64)  # key and value side by side
+        self.cells[:, :, 1] = self.NONE
         for key, value in prefixes.items():
             side = 0
             for _ in range(500):  # cuckoo hashing: what is pushed out goes to its place in the other table
                 at = int(self.place(np.array([key], dtype=np.uint64), side)[0])
-                key, self.keys[side, at] = int(self.keys[side, at]), key
-                value, self.values[side, at] = int(self.values[side, at]), value
+                pushed = self.cells[side, at].tolist()
+                self.cells[side, at] = key, value
+                key, value = pushed
                 if key == 0:
                     break
                 side = 1 - side
@@ -91,9 +93,16 @@ class PrefixTable:
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each string begins a piece, and the piece it is, or -1."""
-        one, two = self.place(h, 0), self.place(h, 1)
-        in_one, in_two = self.keys[0][one] == h, self.keys[1][two] == h
-        return in_one | in_two, np.where(in_one, self.values[0][one], np.where(in_two, self.values[1][two], -1))
+        cell = self.gather(0, h)
+        begun = cell[:, 0] == h
+        other = np.flatnonzero(~begun)
+        cell[other] = self.gather(1, h[other])
+        begun[other] = cell[other, 0] == h[other]
+        return begun, np.where(begun & (cell[:, 1] != self.NONE), cell[:, 1].astype(np.int64), -1)
+
+    def gather(self, side: int, h: np.ndarray) -> np.ndarray:
+        """The cells of the strings in one table, moved as 16-byte items."""
+        return self.cells[side].view(np.complex128)[:, 0][self.place(h, side)].view(np.uint64).reshape(-1, 2)
 
 
 class Lattices:
@@ -120,9 +129,12 @@ class Lattices:
             self.text_of[k] = value
         names = {self.pieces[i]: i for i in np.flatnonzero(usable).tolist()}
         self.width = max(map(len, names))
+        if self.width > 64:
+            raise ValueError("a piece of this model is longer than 64 characters")
         self.table = PrefixTable(names)
         self.last, self.codes = _Pile("i1"), _Pile("u4")  # the longest piece's place at a node, -1 at an end; the character
-        self.chance, self.cum, self.piece = _Pile("f4", self.width), _Pile("f4", self.width), _Pile("i4", self.width)
+        self.chance, self.piece = _Pile("f4", self.width), _Pile("i4", self.width)
+        self.cum = _Pile("f4", -(-self.width // 8) * 8)  # whole eights, so that comparisons are counted as 64-bit words
         self.clear()
 
     def clear(self) -> None:
@@ -150,40 +162,58 @@ class Lattices:
         node = self.nodes
         chance, cum, piece, last = (pile.more(node, total) for pile in (self.chance, self.cum, self.piece, self.last))
         self.codes.more(node, total)[:] = codes
-        chance[:], piece[:], last[:] = -np.inf, -1, -1  # logarithms first, chances from the level loop on
+        chance[:], piece[:], last[:] = 0.0, -1, -1
         values = codes.astype(np.uint64) + np.uint64(1)
         alive = np.flatnonzero(left > 0)
         h = np.zeros(len(alive), dtype=np.uint64)
         last[alive] = 0
+        fits = np.zeros(total, dtype=np.uint64)  # bit n - 1: a piece of n characters fits here
+        edges: list[tuple[int, np.ndarray, np.ndarray]] = []
         for n in range(1, width + 1):
             h = h * np.uint64(0x100000001B3) + values[alive + n - 1]
             begun, found = self.table.find(h)
             whole = np.flatnonzero(found >= 0)
             rows, found = alive[whole], found[whole]
             piece[rows, n - 1] = found
-            chance[rows, n - 1] = self.weights[found]
+            edges.append((n - 1, rows, found))
+            fits[rows] |= np.uint64(1 << (n - 1))
             last[rows] = n - 1
             on = np.flatnonzero(begun & (left[alive] > n))
             alive, h = alive[on], h[on]
             if not len(alive):
                 break
-        lone = np.flatnonzero((left > 0) & (piece[:, 0] < 0))
-        chance[lone, 0] = [self.byte_weight * len(chr(c).encode("utf-8", "surrogatepass")) for c in codes[lone].tolist()]
-        sums = np.zeros(total + width)
         order = np.argsort(left, kind="stable")
         cuts = np.searchsorted(left[order], np.arange(int(left.max()) + 2))
-        reach = np.arange(1, width + 1)
+        # Edges by level, node and length; a node without a one-character piece has the edge of its bytes instead.
+        lone = np.flatnonzero((left > 0) & (fits & np.uint64(1) == 0))
+        fits[lone] |= np.uint64(1)
+        edges.append((0, lone, np.full(len(lone), -1, dtype=np.int32)))
+        fan = np.bitwise_count(fits[order]).astype(np.int64)
+        begin = np.concatenate(([0], np.cumsum(fan)))
+        at = np.empty(total, dtype=np.int64)
+        at[order] = begin[:-1]
+        source, step, weight = np.empty(begin[-1], dtype=np.int64), np.empty(begin[-1], dtype=np.int64), np.empty(begin[-1])
+        for n, rows, found in edges:
+            slot = at[rows] + np.bitwise_count(fits[rows] & np.uint64((1 << n) - 1))
+            source[slot], step[slot], weight[slot] = rows, n, self.weights[found]
+        weight[at[lone]] = [self.byte_weight * len(chr(c).encode("utf-8", "surrogatepass")) for c in codes[lone].tolist()]
+        target = source + step + 1
+        sums, share = np.zeros(total), np.empty(len(source))
         for r in range(1, int(left.max()) + 1):
-            at = order[cuts[r] : cuts[r + 1]]
-            wide = int(last[at].max()) + 1
-            w = chance[at, :wide] + sums[at[:, None] + reach[:wide]]
-            top = w.max(axis=1)
-            w = np.exp(w - top[:, None])
-            mass = w.sum(axis=1)
-            sums[at] = top + np.log(mass)
-            chance[at, :wide] = w / mass[:, None]
-        np.maximum(chance, 0.0, out=chance)
-        np.cumsum(chance, axis=1, out=cum)
+            rows = slice(cuts[r], cuts[r + 1])
+            lo, hi = begin[cuts[r]], begin[cuts[r + 1]]
+            first = begin[rows] - lo
+            w = weight[lo:hi] + sums[target[lo:hi]]
+            top = np.maximum.reduceat(w, first)
+            w = np.exp(w - np.repeat(top, fan[rows]))
+            mass = np.add.reduceat(w, first)
+            sums[order[rows]] = top + np.log(mass)
+            share[lo:hi] = w / np.repeat(mass, fan[rows])
+        chance.reshape(-1)[source * width + step] = share
+        cum[:, width:] = 2.0
+        cum[:, 0] = chance[:, 0]
+        for n in range(1, width):
+            np.add(cum[:, n - 1], chance[:, n], out=cum[:, n])
         self.nodes += total
         self.types.update(zip(words, (begins + node).tolist()))
 
@@ -196,8 +226,9 @@ class Lattices:
         going = np.flatnonzero(self.last.data[nodes] >= 0)
         at = nodes[going]
         while len(going):
-            u = uniform(seeds[going] + np.uint64(step))
-            n = np.minimum((u[:, None] > self.cum.data[at]).sum(axis=1), self.last.data[at])
+            u = uniform(seeds[going] + np.uint64(step)).astype(np.float32)
+            passed = np.bitwise_count((u[:, None] > self.cum.data[at]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            n = np.minimum(passed, self.last.data[at])
             owners.append(going)
             taken.append(at * self.width + n)
             at = at + n + 1
@@ -215,13 +246,15 @@ class Lattices:
     def ids(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids along a way; a character without piece gives the ids of its bytes."""
         pieces = self.piece.data.reshape(-1)[edges]
-        if len(pieces) and pieces.min() < 0:
-            out: list[int] = []
-            for p, e in zip(pieces.tolist(), edges.tolist()):
-                lone = () if p >= 0 else chr(int(self.codes.data[e // self.width])).encode("utf-8", "surrogatepass")
-                out += [p] if p >= 0 else [self.byte_ids[bytes([b])] for b in lone]
-            return np.array(out, dtype="<i4")
-        return pieces.astype("<i4")
+        lone = np.flatnonzero(pieces < 0)
+        if not len(lone):
+            return pieces.astype("<i4")
+        spelt = [chr(c).encode("utf-8", "surrogatepass") for c in self.codes.data[edges[lone] // self.width].tolist()]
+        room = np.ones(len(pieces), dtype=np.int64)
+        room[lone] = [len(b) for b in spelt]
+        out = np.repeat(pieces, room).astype("<i4")
+        out[out < 0] = [self.byte_ids[bytes([v])] for b in spelt for v in b]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of piece ids; the space mark that the model puts first is left out."""
@@ -232,10 +265,10 @@ class Lattices:
 class _Way:
     """A sampled segmentation of each text of a batch, and the perturbed bounds of what it left aside at every step."""
 
-    __slots__ = ("edges", "units", "bounds", "value")
+    __slots__ = ("edges", "units", "bounds", "value", "log_p")
 
-    def __init__(self, edges, units, bounds, value):
-        self.edges, self.units, self.bounds, self.value = edges, units, bounds, value
+    def __init__(self, edges, units, bounds, value, log_p):
+        self.edges, self.units, self.bounds, self.value, self.log_p = edges, units, bounds, value, log_p
 
 
 def sample_ways(lattices: Lattices, texts: list[str], seeds: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -278,7 +311,7 @@ def sample_ways(lattices: Lattices, texts: list[str], seeds: list[int], k: int)
                 location[0] = before[at] + extra[i]
             noise = uniform(seed[row : row + 1] * MIX2 + (np.arange(at, n, dtype=np.uint64) * np.uint64(k + 1) + np.uint64(sample)) * GOLDEN)
             bounds[at:] = truncated_gumbel(location, np.float64(values[i]), noise)
-            ways[row].append(_Way(way, way_units, bounds, values[i]))
+            ways[row].append(_Way(way, way_units, bounds, values[i], float(logq.sum())))
 
     root = -np.log(-np.log(uniform(seed * GOLDEN)))
     rows = [r for r in range(len(texts)) if sizes[r]]
@@ -321,9 +354,8 @@ def sample_ways(lattices: Lattices, texts: list[str], seeds: list[int], k: int)
         cut = max((float(w.bounds.max()) if len(w.bounds) else -np.inf) for w in ways[r])
         out = []
         for w in ways[r]:
-            log_p = float(lattices.log_probability(w.edges).sum())
-            x = log_p - cut
-            out.append((w.edges, log_p, float(w.value), 0.0 if np.isposinf(x) else x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 700.0)))))))
+            x = w.log_p - cut
+            out.append((w.edges, w.log_p, float(w.value), 0.0 if np.isposinf(x) else x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 700.0)))))))
         found.append(out)
     return found
 
