@@ -110,7 +110,7 @@ class Lattices:
 
     A piece has the probability that Zipf's law gives its merge rank, to the power ``alpha``. A character without a
     piece has one edge for its bytes. Each edge holds the probability of going on with it, from exact sums over all ways to
-    the end: these sums are the bounds of the search. Edge ``node * width + n - 1`` is the piece of n characters.
+    the end: these sums are the bounds of the search. The edges of a node follow each other by length.
     """
 
     def __init__(self, model_path: str, alpha: float):
@@ -124,22 +124,27 @@ class Lattices:
         self.weights = (alpha * (weight - norm)).astype(np.float32)
         self.byte_weight = alpha * float(-np.log(size + ZIPF_SHIFT) - norm)
         self.byte_ids = {bytes([b]): model.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
-        self.text_of = [p.replace("▁", " ").encode() for p in self.pieces]
+        text_of = [p.replace("▁", " ").encode() for p in self.pieces]
         for value, k in self.byte_ids.items():
-            self.text_of[k] = value
+            text_of[k] = value
+        # The texts of all pieces one after the other, and where each lies.
+        self.text = np.frombuffer(b"".join(text_of), dtype=np.uint8)
+        self.text_size = np.array([len(t) for t in text_of], dtype=np.int64)
+        self.text_at = np.cumsum(self.text_size) - self.text_size
         names = {self.pieces[i]: i for i in np.flatnonzero(usable).tolist()}
         self.width = max(map(len, names))
         if self.width > 64:
             raise ValueError("a piece of this model is longer than 64 characters")
         self.table = PrefixTable(names)
-        self.last, self.codes = _Pile("i1"), _Pile("u4")  # the longest piece's place at a node, -1 at an end; the character
-        self.chance, self.piece = _Pile("f4", self.width), _Pile("i4", self.width)
+        # By node: its first edge (-1 at an end) and the character; by edge: the node it leads to, its length, piece and chance.
+        self.first, self.codes = _Pile("i8"), _Pile("u4")
+        self.target, self.size, self.piece, self.chance = _Pile("i8"), _Pile("i1"), _Pile("i4"), _Pile("f4")
         self.cum = _Pile("f4", -(-self.width // 8) * 8)  # whole eights, so that comparisons are counted as 64-bit words
         self.clear()
 
     def clear(self) -> None:
         self.types: dict[str, int] = {}
-        self.nodes = 0
+        self.nodes = self.edges = 0
 
     def starts(self, words: list[str]) -> np.ndarray:
         """Start node of each pre-token."""
@@ -147,9 +152,11 @@ class Lattices:
             self.clear()
         found = list(map(self.types.get, words))
         if None in found:
-            self._build(sorted({w for w, v in zip(words, found) if v is None}))
-            found = list(map(self.types.get, words))
-        return np.array(found, dtype=np.int64)
+            gaps = [i for i, v in enumerate(found) if v is None]
+            self._build(list({words[i] for i in gaps}))
+            for i in gaps:
+                found[i] = self.types[words[i]]
+        return np.fromiter(found, dtype=np.int64, count=len(found))
 
     def _build(self, words: list[str]) -> None:
         marked = [w if w[:1] == "\n" else "▁" * len(w) if not w.strip(" ") and w else "▁" + w.replace(" ", "▁") for w in words]
@@ -160,13 +167,10 @@ class Lattices:
         begins = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
         left = np.repeat(begins + lengths, lengths + 1) - np.arange(total)  # characters to the end of the pre-token
         node = self.nodes
-        chance, cum, piece, last = (pile.more(node, total) for pile in (self.chance, self.cum, self.piece, self.last))
         self.codes.more(node, total)[:] = codes
-        chance[:], piece[:], last[:] = 0.0, -1, -1
         values = codes.astype(np.uint64) + np.uint64(1)
         alive = np.flatnonzero(left > 0)
         h = np.zeros(len(alive), dtype=np.uint64)
-        last[alive] = 0
         fits = np.zeros(total, dtype=np.uint64)  # bit n - 1: a piece of n characters fits here
         edges: list[tuple[int, np.ndarray, np.ndarray]] = []
         for n in range(1, width + 1):
@@ -174,10 +178,8 @@ class Lattices:
             begun, found = self.table.find(h)
             whole = np.flatnonzero(found >= 0)
             rows, found = alive[whole], found[whole]
-            piece[rows, n - 1] = found
-            edges.append((n - 1, rows, found))
+            edges.append((n, rows, found))
             fits[rows] |= np.uint64(1 << (n - 1))
-            last[rows] = n - 1
             on = np.flatnonzero(begun & (left[alive] > n))
             alive, h = alive[on], h[on]
             if not len(alive):
@@ -187,18 +189,23 @@ class Lattices:
         # Edges by level, node and length; a node without a one-character piece has the edge of its bytes instead.
         lone = np.flatnonzero((left > 0) & (fits & np.uint64(1) == 0))
         fits[lone] |= np.uint64(1)
-        edges.append((0, lone, np.full(len(lone), -1, dtype=np.int32)))
+        edges.append((1, lone, np.full(len(lone), -1, dtype=np.int32)))
         fan = np.bitwise_count(fits[order]).astype(np.int64)
         begin = np.concatenate(([0], np.cumsum(fan)))
+        count = int(begin[-1])
         at = np.empty(total, dtype=np.int64)
         at[order] = begin[:-1]
-        source, step, weight = np.empty(begin[-1], dtype=np.int64), np.empty(begin[-1], dtype=np.int64), np.empty(begin[-1])
+        size, piece, chance, goal = (pile.more(self.edges, count) for pile in (self.size, self.piece, self.chance, self.target))
         for n, rows, found in edges:
-            slot = at[rows] + np.bitwise_count(fits[rows] & np.uint64((1 << n) - 1))
-            source[slot], step[slot], weight[slot] = rows, n, self.weights[found]
+            slot = at[rows] + np.bitwise_count(fits[rows] & np.uint64((1 << (n - 1)) - 1))
+            size[slot], piece[slot] = n, found
+        weight = self.weights[piece].astype(np.float64)
         weight[at[lone]] = [self.byte_weight * len(chr(c).encode("utf-8", "surrogatepass")) for c in codes[lone].tolist()]
-        target = source + step + 1
-        sums, share = np.zeros(total), np.empty(len(source))
+        source = np.repeat(order, fan)
+        target = source + size
+        goal[:] = target + node
+        self.first.more(node, total)[:] = np.where(left > 0, at + self.edges, -1)
+        sums, share = np.zeros(total), np.empty(count)
         for r in range(1, int(left.max()) + 1):
             rows = slice(cuts[r], cuts[r + 1])
             lo, hi = begin[cuts[r]], begin[cuts[r + 1]]
@@ -209,47 +216,61 @@ class Lattices:
             mass = np.add.reduceat(w, first)
             sums[order[rows]] = top + np.log(mass)
             share[lo:hi] = w / np.repeat(mass, fan[rows])
-        chance.reshape(-1)[source * width + step] = share
-        cum[:, width:] = 2.0
-        cum[:, 0] = chance[:, 0]
-        for n in range(1, width):
-            np.add(cum[:, n - 1], chance[:, n], out=cum[:, n])
+        chance[:] = share
+        # Chances up to each edge of its node; the last edge takes all that is left.
+        for k in range(1, int(fan.max())):
+            further = begin[:-1][fan > k] + k
+            share[further] += share[further - 1]
+        share[begin[1:][fan > 0] - 1] = 2.0
+        cum = self.cum.more(node, total)
+        cum[:] = 2.0
+        cum.reshape(-1)[source * cum.shape[1] + np.arange(count) - np.repeat(begin[:-1], fan)] = share
+        self.edges += count
         self.nodes += total
         self.types.update(zip(words, (begins + node).tolist()))
 
     def log_probability(self, edges: np.ndarray) -> np.ndarray:
-        return np.log(self.chance.data.reshape(-1)[edges].astype(np.float64))
+        return np.log(self.chance.data.take(edges).astype(np.float64))
 
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sample a way to the end from each node; edges in order, and which node's way each belongs to."""
         owners, taken, step = [], [], 0
-        going = np.flatnonzero(self.last.data[nodes] >= 0)
-        at = nodes[going]
+        lengths = np.zeros(len(nodes), dtype=np.int64)
+        first, target, cum = self.first.data, self.target.data, self.cum.data
+        edge = first.take(nodes)
+        going = np.flatnonzero(edge >= 0)
+        at, edge = nodes[going], edge[going]
         while len(going):
-            u = uniform(seeds[going] + np.uint64(step)).astype(np.float32)
-            passed = np.bitwise_count((u[:, None] > self.cum.data[at]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-            n = np.minimum(passed, self.last.data[at])
+            u = uniform(seeds.take(going) + np.uint64(step)).astype(np.float32)
+            edge += np.bitwise_count((u[:, None] > cum.take(at, axis=0)).view(np.uint64)).sum(axis=1, dtype=np.int64)
             owners.append(going)
-            taken.append(at * self.width + n)
-            at = at + n + 1
-            on = self.last.data[at] >= 0
-            going, at, step = going[on], at[on], step + 1
-        if not owners:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        owner, edges = np.concatenate(owners), np.concatenate(taken)
-        order = np.argsort(owner, kind="stable")
-        return owner[order], edges[order]
+            taken.append(edge)
+            step += 1
+            lengths[going] = step
+            at = target.take(edge)
+            edge = first.take(at)
+            on = edge >= 0
+            going, at, edge = going[on], at[on], edge[on]
+        begins = np.cumsum(lengths) - lengths
+        edges = np.empty(int(lengths.sum()), dtype=np.int64)
+        for n, (rows, edge) in enumerate(zip(owners, taken)):
+            edges[begins[rows] + n] = edge
+        return np.repeat(np.arange(len(nodes)), lengths), edges
+
+    def source(self, edge: int) -> int:
+        return int(self.target.data[edge]) - int(self.size.data[edge])
 
     def options(self, node: int) -> list[int]:
-        return [node * self.width + n for n in range(self.last.data[node] + 1) if self.piece.data[node, n] >= 0 or n == 0]
+        first = int(self.first.data[node])
+        return [first + k for k in range(int((self.cum.data[node] < 2.0).sum()) + 1)]
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids along a way; a character without piece gives the ids of its bytes."""
-        pieces = self.piece.data.reshape(-1)[edges]
+        pieces = self.piece.data.take(edges)
         lone = np.flatnonzero(pieces < 0)
         if not len(lone):
             return pieces.astype("<i4")
-        spelt = [chr(c).encode("utf-8", "surrogatepass") for c in self.codes.data[edges[lone] // self.width].tolist()]
+        spelt = [chr(c).encode("utf-8", "surrogatepass") for c in self.codes.data[self.target.data[edges[lone]] - 1].tolist()]
         room = np.ones(len(pieces), dtype=np.int64)
         room[lone] = [len(b) for b in spelt]
         out = np.repeat(pieces, room).astype("<i4")
@@ -258,7 +279,10 @@ class Lattices:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of piece ids; the space mark that the model puts first is left out."""
-        text = b"".join(map(self.text_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        size = self.text_size.take(ids)
+        place = np.repeat(self.text_at.take(ids) - (np.cumsum(size) - size), size)
+        place += np.arange(len(place))
+        text = self.text.take(place).tobytes().decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -331,13 +355,13 @@ def sample_ways(lattices: Lattices, texts: list[str], seeds: list[int], k: int)
             t = int(way.bounds.argmax())
             way.bounds[t] = -np.inf
             taken = barred.pop((r, p, t), [int(way.edges[t])])
-            options = [e for e in lattices.options(int(way.edges[t]) // lattices.width) if e not in taken]
+            options = [e for e in lattices.options(lattices.source(int(way.edges[t]))) if e not in taken]
             chances = np.exp(lattices.log_probability(np.array(options)))
             u = float(uniform(np.array([int(seed[r]) ^ (sample << 32 | t)], dtype=np.uint64))[0])
             chosen = options[min(int(np.searchsorted(np.cumsum(chances), u * chances.sum())), len(options) - 1)]
             left = float(chances.sum() - chances[options.index(chosen)])
             unit = int(way.units[t])
-            after = np.concatenate(([chosen // lattices.width + chosen % lattices.width + 1], nodes[offsets[r] + unit + 1 : offsets[r + 1]])).astype(np.int64)
+            after = np.concatenate(([int(lattices.target.data[chosen])], nodes[offsets[r] + unit + 1 : offsets[r + 1]])).astype(np.int64)
             for column, value in zip(turn, (
                 r, np.concatenate([way.edges[:t], [chosen]]), way.units[: t + 1], after, np.arange(unit, sizes[r]), tops[p], t,
                 np.log(left) if len(options) > 1 and left > 0 else -np.inf,
