@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voltframe.operators import curate
 from voltframe.sources.connectors import bronze_columns, read_landed
+from voltframe.streaming import lake as lake_module
 from voltframe.streaming.breaches import stream_breaches
 from voltframe.streaming.ingest import curator, start_bronze, start_curation
 from voltframe.streaming.lake import Lake, compact, read_silver, read_table, run_backfill
@@ -138,6 +139,18 @@ def test_replayed_messages_are_dropped_within_the_delay(spark, tmp_path, lake):
     assert read_table(spark, lake.dead_letters).count() == 1
 
 
+def test_backfills_at_the_same_time_keep_their_folders(spark, tmp_path, monkeypatch):
+    late = spark.range(1).selectExpr("'a' AS source", "timestamp'2025-01-01 00:00:00' AS interval_start", "0L AS batch_id")
+    written = []
+    monkeypatch.setattr(lake_module, "read_table", lambda spark, path: late)
+    monkeypatch.setattr(lake_module.curate, "backfill_candidates", lambda rows, *_: rows)
+    monkeypatch.setattr(lake_module, "write_silver", lambda rows, lake, batch_id: written.append(batch_id))
+    # Two runs that both see no finished manifest.
+    for source, root in (("a", "one"), ("b", "two")):
+        lake_module.run_backfill(spark, Lake(str(tmp_path / root)), source, "2025-01-01", "2025-02-01")
+    assert len(set(written)) == 2 and min(written) >= lake_module.BACKFILL_BASE
+
+
 def test_breach_state_survives_batches(spark, tmp_path):
     folder = tmp_path / "windows"
     os.makedirs(folder)

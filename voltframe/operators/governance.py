@@ -41,9 +41,9 @@ def promotion_gate(
         F.when(champion <= 0, "champion error must be positive")
         .when(
             improvement(champion, challenger) < minimum_improvement,
-            "challenger does not improve primary error by 2%",
+            f"challenger does not improve primary error by {100 * minimum_improvement:g}%",
         )
-        .when(regresses, "challenger regresses a critical slice by more than 10%")
+        .when(regresses, f"challenger regresses a critical slice by more than {100 * maximum_slice_regression:g}%")
         .otherwise("promotion criteria satisfied")
     )
     return {"promote": reason == "promotion criteria satisfied", "reason": reason}

@@ -239,9 +239,10 @@ class PooledRegressionForecaster(QuantileForecaster):
         )
 
     def feature_importances(self, spark: SparkSession) -> DataFrame:
+        """Importance per feature; that of a linear model is the size of its coefficient, whatever the sign."""
         fitted = self.model.stages[-1]
         weights = fitted.featureImportances if hasattr(fitted, "featureImportances") else fitted.coefficients
-        rows = [(n, float(w)) for n, w in zip(self.feature_names, weights.toArray(), strict=True)]
+        rows = [(n, abs(float(w))) for n, w in zip(self.feature_names, weights.toArray(), strict=True)]
         return spark.createDataFrame(rows, "feature string, importance double")
 
     def _save_raw(self, path: str) -> None:

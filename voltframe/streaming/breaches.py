@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voltframe.operators.governance import BREACH_THRESHOLD, REQUIRED_BREACHES
@@ -48,7 +49,12 @@ def stream_breaches(
     """Per (area, target): consecutive degraded windows; the state is a single counter.
 
     Windows of one micro-batch and key are sorted in the task; a trigger interval holds few of them.
+    A reference error that is null or not positive fails the query, as in the batch counter.
     """
-    return windows.groupBy("area", "target").applyInPandasWithState(
+    reference = F.col("reference_error")
+    positive = F.when(reference > 0, reference).otherwise(
+        F.raise_error(F.lit("reference error must be positive")).cast("double")
+    )
+    return windows.withColumn("reference_error", positive).groupBy("area", "target").applyInPandasWithState(
         _count(threshold, required), OUTPUT, "streak long", "append", GroupStateTimeout.NoTimeout
     )

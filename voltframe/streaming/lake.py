@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from voltframe.operators import curate
 from voltframe.schemas import MANIFEST_SCHEMA
 
-# Backfills are stored after any streaming batch, ordered by their number.
+# Backfills are stored after any streaming batch, ordered by their number; runs at the same time differ in the last bits.
 BACKFILL_BASE = 10**12
+RUN_BITS = 32
 
 
 @dataclass(frozen=True)
@@ -135,7 +136,8 @@ def run_backfill(spark: SparkSession, lake: Lake, source: str, start: str, end:
     if late is None:
         return run_id
     before = _numbers(spark, f"{lake.silver_log}/batch_id=*", "batch_id")
-    batch_id = BACKFILL_BASE + len(_matching(spark, f"{lake.manifests}/run=*/_SUCCESS"))
+    number = len(_matching(spark, f"{lake.manifests}/run=*/_SUCCESS"))
+    batch_id = BACKFILL_BASE + (number << RUN_BITS) + int(run_id[: RUN_BITS // 4], 16)
     lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
     rows = curate.backfill_candidates(late.drop("batch_id"), source, lo, hi)
     write_silver(rows, lake, batch_id)
