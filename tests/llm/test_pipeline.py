@@ -54,3 +54,11 @@ def test_run_equals_stages_and_takes_odd_rows(text_spark, odd, tmp_path):
     assert {r["doc_id"] for r in rows} == {1, 6, None, 7}  # no letters: gone; 2 copies 1
     text_spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/empty/documents.parquet")
     assert corpus_pipeline.run(text_spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_pages_with_little_text_beside_shared_lines_lose_these(text_spark):
+    head, foot = "A long header that stands on every site there is.", "A long footer that stands on every site there is."
+    rows = [(i, f"{head}\nown text {i}\n{foot}", "en", f"s{i}", 0) for i in range(6)] + [(9, f"{head}\n{foot}", "en", "s9", 0)]
+    docs = text_spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.own_lines(text_spark, docs, SF_DIR).collect()}
+    assert got == {0: rows[0][1], 9: rows[6][1], **{i: f"own text {i}" for i in range(1, 6)}}

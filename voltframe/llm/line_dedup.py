@@ -64,13 +64,15 @@ def drop_boilerplate(
     site_col: str = "source",
     min_sites: int = MIN_SITES,
     min_chars: int = MIN_CHARS,
+    half_stays: bool = True,
 ) -> DataFrame:
     """All columns of ``docs`` plus ``clean_text, n_lines, n_removed``.
 
     A line of at least ``min_chars`` characters that stands on at least ``min_sites`` distinct sites is removed
     everywhere but at its first place (smallest id, then position), so no content vanishes from the corpus. A document
     of which such lines make up more than half of the characters is a copy rather than a page with boilerplate; it
-    stays whole, for document deduplication to judge. Lines are compared as they are, by 128 bits of hash. A null site is a site of its own, null text gives null clean text
+    stays whole, for document deduplication to judge. With ``half_stays=False`` only a document of which all lines
+    but blank ones are such lines stays whole, and every other one loses them. Lines are compared as they are, by 128 bits of hash. A null site is a site of its own, null text gives null clean text
     and no line, an empty text is one empty line. Rows that repeat id and text are one document. Empty tables
     give an empty result.
     """
@@ -83,15 +85,19 @@ def drop_boilerplate(
         .select("_k1", "_k2", "_pos", "_chars", F.struct("_id", "_pos").eqNullSafe(F.col("_first")).alias("_stays"))
         .distinct()
         .groupBy("_k1", "_k2")
-        .agg(F.collect_list(F.when(~F.col("_stays"), F.col("_pos"))).alias("_removed"), F.sum("_chars").alias("_common"))
+        .agg(F.collect_list(F.when(~F.col("_stays"), F.col("_pos"))).alias("_removed"), F.sum("_chars").alias("_common"), F.count(F.lit(1)).alias("_shared"))
     )
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = F.col("_row")[text_col]
     rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.col(id_col), text).alias("_k1"), F.xxhash64(F.lit(7), text).alias("_k2"))
     parts = F.split(own, "\n", -1)
     rest = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n")
+    if half_stays:
+        kept_whole = F.col("_common") * 2 > F.length(own)
+    else:
+        kept_whole = F.col("_shared") == F.size(F.filter(parts, lambda x: x.rlike(r"\S")))
     # Null where no line goes; a null condition counts as false.
-    cut = (F.size("_removed") > 0) & (F.col("_common") * 2 <= F.length(own))
+    cut = (F.size("_removed") > 0) & ~kept_whole
     return rows.join(removed, ["_k1", "_k2"], "left").select(
         *[F.col("_row")[c].alias(c) for c in docs.columns if c not in ("clean_text", "n_lines", "n_removed")],
         F.when(cut, rest).otherwise(own).alias("clean_text"),
