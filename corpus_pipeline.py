@@ -37,7 +37,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand on many sites go, everywhere but at their first place and in documents of nothing else. No document goes."""
     prepare(spark)
-    return with_text(line_dedup.drop_boilerplate(docs, half_stays=False), "clean_text")
+    return with_text(line_dedup.drop_boilerplate(docs, min_chars=0, half_stays=False), "clean_text")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,10 @@ def test_pages_with_little_text_beside_shared_lines_lose_these(text_spark):
     docs = text_spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.own_lines(text_spark, docs, SF_DIR).collect()}
     assert got == {0: rows[0][1], 9: rows[6][1], **{i: f"own text {i}" for i in range(1, 6)}}
+
+
+def test_short_lines_count_by_their_sites_too(text_spark):
+    rows = [(i, f"Some text of page {i} that no other page has.\n\nAll rights reserved.", "en", f"s{i}", 0) for i in range(6)]
+    docs = text_spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.own_lines(text_spark, docs, SF_DIR).collect()}
+    assert got == {0: rows[0][1], **{i: f"Some text of page {i} that no other page has.\n" for i in range(1, 6)}}

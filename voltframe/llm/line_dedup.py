@@ -25,7 +25,7 @@ def document_lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, m
             F.xxhash64(F.lit(7), text).alias("_k2"),
             F.posexplode(F.split(text, "\n", -1)).alias("_pos", "_line"),
         )
-        .filter(F.length("_line") >= min_chars)
+        .filter(F.length("_line") >= min_chars if min_chars > 0 else F.col("_line").rlike(r"\S"))
         .select("_k1", "_k2", "_id", "_pos", "_site", F.length("_line").alias("_chars"), F.xxhash64("_line").alias("_h1"), F.xxhash64(F.lit(7), "_line").alias("_h2"))
     )
 
@@ -68,7 +68,7 @@ def drop_boilerplate(
 ) -> DataFrame:
     """All columns of ``docs`` plus ``clean_text, n_lines, n_removed``.
 
-    A line of at least ``min_chars`` characters that stands on at least ``min_sites`` distinct sites is removed
+    A line of at least ``min_chars`` characters (0: any line that is not blank) that stands on at least ``min_sites`` distinct sites is removed
     everywhere but at its first place (smallest id, then position), so no content vanishes from the corpus. A document
     of which such lines make up more than half of the characters is a copy rather than a page with boilerplate; it
     stays whole, for document deduplication to judge. With ``half_stays=False`` only a document of which all lines
