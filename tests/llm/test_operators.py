@@ -140,6 +140,35 @@ def test_feistel_equals_plain_python_and_permutes(text_spark):
     assert got == [tuple(feistel_plain(list(v), [7, 11], "k", "t")) for v in vectors] and len(set(got)) == 77
 
 
+HIDDEN = {
+    "3056 930902 5904": "3056 930902 5904", "4000 0000 0000 0000 006": "4000 0000 0000 0000 006", "41 11 11-11 1111 1111": "41 11 11-11 1111 1111",
+    "4111 1111 1111 1111 123": "4111 1111 1111 1111", "4111-1111-1111-1111-04": "4111-1111-1111-1111", "born 1987-05-23 12345": "1987-05-23",
+    "30 319-555-5132 12": "319-555-5132", f"secret={'ab1' * 50}": "ab1" * 5, 'TOKEN = "9233A8F0C2D4E6B8"': "9233A8F0C2D4E6B8", f"x@{'host.' * 30}example.com": "example",
+}
+
+
+def test_cards_in_any_grouping_long_values_and_labels_in_capitals_are_replaced(text_spark):
+    secret = "".join(chr(97 + i * i % 26) + str(i % 10) for i in range(300))
+    given = [*HIDDEN, f"Api_Key: {secret}"]
+    masked = pii.pseudonymise(text_spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, hidden in zip(masked, HIDDEN.values()):
+        assert hidden not in r["masked_text"] and r["n_values"] == 1, r
+    assert all(luhn(r["masked_text"]) for r in masked[:3])
+    ends = masked[-1]["masked_text"].removeprefix("Api_Key: ")
+    assert len(ends) == len(secret)
+    assert all(sum(a == b for a, b in zip(ends[i : i + 50], secret[i : i + 50])) < 25 for i in range(0, len(secret) - 50, 50))
+    back = pii.pseudonymise(text_spark.createDataFrame([(r["doc_id"], r["masked_text"]) for r in masked], "doc_id long, text string"), inverse=True)
+    assert [r["masked_text"] for r in back.orderBy("doc_id").collect()] == given
+
+
+def test_feistel_of_long_vectors_undoes_itself(text_spark):
+    df = text_spark.createDataFrame([([i % 10 for i in range(n)],) for n in (2, 63, 64, 65, 66, 129, 500)], "v array<int>")
+    there = pii.feistel(F.col("v"), F.transform("v", lambda _: F.lit(10)), F.lit("k"), "t")
+    rows = df.select("v", there.alias("w")).select("v", "w", pii.feistel(F.col("w"), F.transform("w", lambda _: F.lit(10)), F.lit("k"), "t", True).alias("u")).collect()
+    assert all(r["u"] == r["v"] and r["w"] != r["v"] and len(r["w"]) == len(r["v"]) for r in rows)
+    assert all(r["w"][64:] != r["v"][64:] for r in rows if len(r["v"]) > 66)
+
+
 def test_pseudonyms_odd_rows(odd, none):
     rows = pii.pseudonymise(odd).collect()
     assert len(rows) == len(ODD_ROWS) and all(r["masked_text"] == r["text"] and r["n_values"] == 0 for r in rows)

@@ -18,9 +18,11 @@ IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 DATE = r"(?<![\w\-/])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w\-/]\d)(?!\d)"
 SSN = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-CARD = r"(?<!\w)(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\w)"
+CARD = r"(?<!\w)(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}(?: \d{1,3})?|\d{4}-\d{4}-\d{4}-\d{4}(?:-\d{1,3})?|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\w)"
+# Card numbers grouped in any other way; looked for between the candidates, so that it hides none of them.
+GROUPED = r"(?<!\w)\d(?:[ \-]?\d){12,18}(?!\w)"
 PHONE = r"(?<!\w)(?:\+?1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\w)|(?<!\w)\+\d(?:[ .\-()]{0,2}\d){7,14}(?!\w)"
-KEY = r"(?<!\w)(?:AKIA[0-9A-Z]{16}(?!\w)|(?:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?[0-9A-Za-z+/_\-]{8,64})"
+KEY = r"(?<!\w)(?:AKIA[0-9A-Z]{16}(?!\w)|(?i:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?[0-9A-Za-z+/_\-]{8,})"
 NUMBERS = {"ipv4": IPV4, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
 # Numbers start with a digit, a bracket or a plus sign; saying so first saves trying each of them at every letter.
 CANDIDATE = rf"{EMAIL}|(?=[\d(+])(?:{'|'.join(f'(?:{p})' for p in NUMBERS.values())})|{IBAN}|{KEY}"
@@ -44,17 +46,18 @@ def feistel(values: Column, radices: Column, key: Column, tweak: Column | str, i
 
     The vector is cut in two; in turn each half gets added, digit by digit modulo its radix, a stream derived from
     the other half by SHA-512 under the key. Every round can be undone, so the whole is a permutation of all
-    vectors of these radices. Halves have at most 32 digits; longer vectors take the digits after the 64th as they are.
+    vectors of these radices. One hash serves 32 digits; longer halves take further hashes, numbered from 1.
     """
     tweak = F.lit(tweak) if isinstance(tweak, str) else tweak
-    n = F.least(F.size(values), F.lit(64))
+    n = F.size(values)
     cut = ((n + 1) / 2).cast("int")
 
     def stir(half: Column, radix: Column, other: Column, r: Column) -> Column:
         label = F.concat_ws("|", key, tweak, r.cast("string"), n.cast("string"), F.array_join(other.cast("array<string>"), ","))
         sign = F.lit(-1 if inverse else 1)
+        more = F.transform(F.sequence(F.lit(1), ((F.size(half) - 1) / 32).cast("int")), lambda k: F.sha2(F.concat_ws("|", label, k.cast("string")), 512))
         return let(
-            F.sha2(label, 512),
+            F.when(F.size(half) <= 32, F.sha2(label, 512)).otherwise(F.concat(F.sha2(label, 512), F.array_join(more, ""))),
             lambda h: F.transform(
                 half,
                 lambda v, i: F.pmod(v + sign * F.conv(F.substring(h, i * 4 + 1, F.lit(4)), 16, 10).cast("int"), F.element_at(radix, i + 1)),
@@ -76,7 +79,7 @@ def feistel(values: Column, radices: Column, key: Column, tweak: Column | str, i
             lambda s: F.concat(s["a"], s["b"]),
         ),
     )
-    return F.when(F.size(values) < 2, values).otherwise(F.concat(mixed, F.slice(values, 65, F.greatest(F.size(values) - 64, F.lit(0)))))
+    return F.when(F.size(values) < 2, values).otherwise(mixed)
 
 
 def chars(text: Column) -> Column:
@@ -106,21 +109,13 @@ def letter(c: Column, v: Column) -> Column:
 def by_class(text: Column, key: Column, tweak: str, inverse: bool, low: int | Column = 0) -> Column:
     """Permute the digits and letters of a text within their classes; what stands between keeps its place."""
 
-    def fill(cs: Column) -> Column:
-        free = F.filter(cs, lambda c: code(c) >= 0)
-        return let(
-            feistel(F.transform(free, code), F.transform(free, radix), key, tweak, inverse),
-            lambda vs: F.aggregate(
-                cs,
-                F.struct(F.lit("").alias("t"), F.lit(1).alias("i")),
-                lambda s, c: F.when(
-                    code(c) >= 0, F.struct(F.concat(s["t"], letter(c, F.element_at(vs, s["i"]))).alias("t"), (s["i"] + 1).alias("i"))
-                ).otherwise(F.struct(F.concat(s["t"], c).alias("t"), s["i"].alias("i"))),
-                lambda s: s["t"],
-            ),
-        )
+    gaps = F.split(text, "[0-9A-Za-z]", -1)
 
-    return let(chars(text), fill)
+    def fill(free: Column) -> Column:
+        moved = feistel(F.transform(free, code), F.transform(free, radix), key, tweak, inverse)
+        return F.array_join(F.flatten(F.zip_with(gaps, F.zip_with(free, moved, letter), lambda g, c: F.array(g, F.coalesce(c, F.lit(""))))), "")
+
+    return let(F.filter(chars(text), lambda c: code(c) >= 0), fill)
 
 
 def refill(shape: Column, digits: Column) -> Column:
@@ -186,6 +181,33 @@ def mask_card(m: Column, key: Column, inverse: bool) -> Column:
     return refill(m, let(digits_of(m), build))
 
 
+def card_parts(m: Column) -> tuple[Column, Column]:
+    """Four groups of four digits and the short group that may follow them; others are whole."""
+    tail = F.regexp_extract(m, r"(?<=^\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})[ -]\d{1,3}$", 0)
+    return F.substring(m, F.lit(1), F.length(m) - F.length(tail)), tail
+
+
+def mask_card_run(m: Column, key: Column, inverse: bool) -> Column:
+    """The whole number where it is a card's, else its first 16 digits, which a short group follows.
+
+    The first 16 digits are moved on while their image would make the whole valid, so that taking it back meets the same case.
+    """
+    def walk(x: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(0), F.lit(40)),
+            x["head"],
+            lambda h, i: F.when((i == 0) | valid_card(F.concat(h, x["tail"])), let(h, lambda v: mask_card(v, key, inverse))).otherwise(h),
+            lambda h: F.concat(h, x["tail"]),
+        )
+
+    def build(x: Column) -> Column:
+        whole = F.struct(m.alias("head"), F.lit("").alias("tail"))
+        return let(F.when(valid_card(m), whole).otherwise(x), lambda y: F.when(y["tail"] == "", mask_card(y["head"], key, inverse)).otherwise(walk(y)))
+
+    head, tail = card_parts(m)
+    return let(F.struct(head.alias("head"), tail.alias("tail")), build)
+
+
 def valid_ipv4(m: Column) -> Column:
     return F.forall(number_parts(m), lambda v: v <= 255)
 
@@ -307,12 +329,33 @@ def pseudonym(m: Column, key: Column, inverse: bool = False) -> Column:
         .when(m.rlike(whole["date"]), F.when(day_of(m).isNotNull(), mask_date(m, key, inverse)))
         .when(m.rlike(whole["ssn"]), F.when(valid_ssn(m), mask_ssn(m, key, inverse)))
         .when(m.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]+$") & valid_iban(m), mask_iban(m, key, inverse))
-        .when(m.rlike(whole["card"]) & valid_card(m), mask_card(m, key, inverse))
+        .when(m.rlike(whole["card"]) & (valid_card(m) | valid_card(card_parts(m)[0])), mask_card_run(m, key, inverse))
         .when(m.rlike(whole["phone"]) & valid_phone(m), mask_phone(m, key, inverse))
         .when(m.rlike(rf"^(?:{KEY})$"), mask_key(m, key, inverse))
     )
 
 
+def glue(gaps: Column, masked: Column) -> Column:
+    """Gaps and the values between them, in turn."""
+    return F.array_join(F.flatten(F.zip_with(gaps, masked, lambda g, x: F.array(g, F.coalesce(x["p"], x["m"], F.lit(""))))), "")
+
+
+def grouped_cards(text: Column, key: Column, inverse: bool) -> Column:
+    """``t, n``: the text with card numbers in free groups replaced, and their number."""
+
+    def work(g: Column) -> Column:
+        found = F.transform(
+            F.regexp_extract_all(g, F.lit(GROUPED), F.lit(0)),
+            lambda m: F.struct(m.alias("m"), F.when(valid_card(m), mask_card(m, key, inverse)).alias("p")),
+        )
+        return let(
+            found,
+            lambda xs: F.struct(glue(F.split(g, GROUPED, -1), xs).alias("t"), F.size(F.filter(xs, lambda x: x["p"].isNotNull())).alias("n")),
+        )
+
+    return F.when(text.rlike(GROUPED), work(text)).otherwise(F.struct(text.alias("t"), F.lit(0).alias("n")))
+
+
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = DEMO_KEY, inverse: bool = False) -> DataFrame:
     """All columns of ``docs`` plus ``masked_text`` and ``n_values`` (replaced values); one pass, no shuffle.
 
@@ -320,6 +363,7 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = DEMO_KEY, i
     labelled secrets. A value that passes its kind's check (octets, calendar, area rules, modulo 97, Luhn, numbering
     plan) is replaced by its image under a keyed permutation of all values of its form; the same value has the same
     pseudonym in every document, check digits stay right. Candidates that fail the check stay as they are.
+    A card number may be grouped in any way, unless its start reads like a value of another kind. Labels are found in any case.
     ``inverse`` with the same key restores the values. Null text gives null and 0 values.
     Texts without a digit, ``@``, ``=``, ``:`` or ``AKIA`` cannot hold any of them. Empty tables give an empty result.
     """
@@ -331,14 +375,18 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = DEMO_KEY, i
     )
     gaps = F.split(text, CANDIDATE, -1)
     masked = F.transform("_found", lambda m: F.struct(m.alias("m"), pseudonym(m, secret, inverse).alias("p")))
-    worked = found.select("_row", F.when(F.size("_found") > 0, masked).alias("_masked"))
-    glued = F.array_join(
-        F.flatten(F.zip_with(gaps, F.col("_masked"), lambda g, x: F.array(g, F.coalesce(x["p"], x["m"], F.lit(""))))), ""
+    worked = found.select(
+        "_row",
+        F.when(F.size("_found") > 0, masked).alias("_masked"),
+        F.when(F.col("_found").isNotNull() & text.rlike(GROUPED), F.transform(gaps, lambda g: grouped_cards(g, secret, inverse))).alias("_gaps"),
     )
+    glued = glue(F.coalesce(F.col("_gaps.t"), gaps), F.coalesce("_masked", F.array().cast("array<struct<m:string,p:string>>")))
+    n_found = F.when(F.col("_masked").isNull(), 0).otherwise(F.size(F.filter("_masked", lambda x: x["p"].isNotNull())))
+    n_grouped = F.when(F.col("_gaps").isNull(), 0).otherwise(F.aggregate("_gaps", F.lit(0), lambda n, g: n + g["n"]))
     return worked.select(
         *[F.col("_row")[c].alias(c) for c in docs.columns if c not in ("masked_text", "n_values")],
-        F.when(F.col("_masked").isNull(), text).otherwise(glued).alias("masked_text"),
-        F.when(F.col("_masked").isNull(), 0).otherwise(F.size(F.filter("_masked", lambda x: x["p"].isNotNull()))).alias("n_values"),
+        F.when(F.col("_masked").isNull() & F.col("_gaps").isNull(), text).otherwise(glued).alias("masked_text"),
+        (n_found + n_grouped).alias("n_values"),
     )
 
 
