@@ -232,6 +232,24 @@ def test_folds_match_slicing_and_purge_the_gap(spark):
     assert report.fold_count == len(want) and report.mae > 0
 
 
+def test_short_series_are_named_and_null_keys_refused(spark):
+    plan = backtest.BacktestPlan(train_days=20, test_days=5, step_days=5, steps_per_day=24, lead=24)
+
+    def series(area, days):
+        pdf = pd.DataFrame({"valid_time": pd.date_range(START, periods=24 * days, freq="60min"), "value": 100 + np.sin(np.arange(24 * days) / 24)})
+        return spark.createDataFrame(pdf).select(F.lit(area).cast("string").alias("area"), F.col("valid_time").cast("timestamp"), "value")
+
+    df = series("ES", 62).unionByName(series("FR", 39)).unionByName(series("PT", 3))
+    predictions = backtest.backtest_predictions(df, keys=["area"], plan=plan)
+    short = backtest.short_series(df, keys=["area"], plan=plan)
+    got = {r.area: r for r in backtest.backtest_summary(predictions, keys=["area"], short=short).collect()}
+    assert got.keys() == {"ES", "FR", "PT"} and got["ES"].fold_count > 0 and got["ES"].reason is None
+    assert got["FR"].fold_count == got["PT"].fold_count == got["PT"].test_rows == 0 and got["FR"].mae is None
+    assert got["FR"].reason == "Not enough data for rolling backtest: have 577 rows, need at least 600" and "have 0 rows" in got["PT"].reason
+    with pytest.raises(Exception, match="null in series key area"):
+        backtest.indexed_rows(df.unionByName(series(None, 62)), keys=["area"], plan=plan).count()
+
+
 def test_backtest_arguments_are_checked():
     with pytest.raises(ValueError):
         backtest.BacktestPlan(train_days=0)

@@ -169,3 +169,10 @@ def test_plans_hold_no_pair_joins(spark, skewed):
         physical = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in physical and "CartesianProduct" not in physical
         assert "Join Cross" not in plan
+
+
+def test_row_index_keeps_rows_with_null_keys(spark):
+    rows = [(k, f"2024-01-0{d}") for k in ("a", None) for d in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "k string, d string").withColumn("ts", F.to_timestamp("d"))
+    got = with_row_index(df, keys=["k"], bucket=time_bucket("ts"), order=[F.col("ts")], total="n").collect()
+    assert sorted((r.k or "", r.d, r.row_index, r.n) for r in got) == sorted((k or "", d, int(d[-1]) - 1, 3) for k, d in rows)

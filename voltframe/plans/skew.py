@@ -109,23 +109,24 @@ def with_row_index(
     """Add the exact 0-based position in ``order`` inside ``keys`` and, on request, the key's size.
 
     Counts per (key, bucket) are combined before the shuffle; their running sum gives each bucket
-    its starting position, so no task ever sees a whole key.
+    its starting position, so no task ever sees a whole key. A null key is a key of its own: key and
+    bucket travel as one struct, and structs with equal null fields are equal.
     """
-    staged = df.withColumn("_bucket", bucket)
-    counts = staged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = _keyed(keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    staged = df.withColumn("_at", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], bucket.alias("bucket")))
+    counts = staged.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*[F.col("_at")[f"k{i}"] for i in range(len(keys))])
+    earlier = whole.orderBy(F.col("_at")["bucket"]).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys,
-        "_bucket",
+        "_at",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
-        *([F.sum("_n").over(_keyed(keys)).alias(total)] if total else []),
+        *([F.sum("_n").over(whole).alias(total)] if total else []),
     )
-    local = _keyed([*keys, "_bucket"]).orderBy(*order)
+    local = Window.partitionBy("_at").orderBy(*order)
     return (
         staged.withColumn("_rn", F.row_number().over(local))
-        .join(offsets, [*keys, "_bucket"])
+        .join(offsets, "_at")
         .withColumn(name, F.col("_offset") + F.col("_rn") - F.lit(1))
-        .drop("_bucket", "_rn", "_offset")
+        .drop("_at", "_rn", "_offset")
     )
 
 

@@ -627,7 +627,8 @@ SELECT *, (baseline_24h_mae - mae) / baseline_24h_mae * 100.0 AS mae_improvement
 )
 def backtest_summary(t):
     """Pooled rolling-origin backtest per series with improvement over both baselines."""
-    return backtest.backtest_summary(predictions(t), keys=SERIES_KEYS, allow_wape=not_price())
+    short = backtest.short_series(t.series, keys=SERIES_KEYS, plan=P)
+    return backtest.backtest_summary(predictions(t), keys=SERIES_KEYS, allow_wape=not_price(), short=short).drop("reason")
 
 
 @register(
