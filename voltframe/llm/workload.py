@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltframe.llm import exact_dedup, line_dedup
+from voltframe.llm import exact_dedup, fim, line_dedup
 from voltframe.llm.exact_dedup import op9_exact_dedup
+from voltframe.llm.fim import op13_fill_in_middle
 from voltframe.llm.langid import op5_language_crf
 from voltframe.llm.line_dedup import op2_line_spread
 from voltframe.llm.packing import op10_best_fit_packing
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_exact_dedup,
         op10_best_fit_packing,
+        op13_fill_in_middle,
     )
 }
-ORACLE: dict[str, str] = {"op2_line_spread": line_dedup.SQL, "op9_exact_dedup": exact_dedup.SQL}
+ORACLE: dict[str, str] = {"op2_line_spread": line_dedup.SQL, "op9_exact_dedup": exact_dedup.SQL, "op13_fill_in_middle": fim.SQL}
