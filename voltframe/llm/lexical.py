@@ -183,7 +183,8 @@ def search(
     worded = count_terms(asked.withColumnRenamed("item_id", "doc_id"), None).select(F.col("doc_id").alias("item_id"), "_keys", "_counts")
     worded = stored(worded.filter(F.size("_keys") > 0).withColumn("_i", F.monotonically_increasing_id()))
     vocabulary = stored(worded.select(F.explode("_keys").alias("_term")).distinct().withColumn("_t", F.monotonically_increasing_id()))
-    terms, size, asking = vocabulary.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("_term")), F.lit(0))).crossJoin(worded.agg(F.count(F.lit(1)))).first()
+    terms, size = vocabulary.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("_term")), F.lit(0))).first()
+    asking = worded.count()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("_raw"))
     if terms <= vocabulary_terms and size <= VOCABULARY_BYTES:
         counted = count_terms(texts, {bytes(r["_term"]): r["_t"] for r in vocabulary.collect()})
