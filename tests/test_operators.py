@@ -245,7 +245,7 @@ def test_short_series_are_named_and_null_keys_refused(spark):
     got = {r.area: r for r in backtest.backtest_summary(predictions, keys=["area"], short=short).collect()}
     assert got.keys() == {"ES", "FR", "PT"} and got["ES"].fold_count > 0 and got["ES"].reason is None
     assert got["FR"].fold_count == got["PT"].fold_count == got["PT"].test_rows == 0 and got["FR"].mae is None
-    assert got["FR"].reason == "Not enough data for rolling backtest: have 577 rows, need at least 600" and "have 0 rows" in got["PT"].reason
+    assert got["FR"].reason == "too short for one fold: 577 complete rows, 600 needed" and "0 complete rows" in got["PT"].reason
     with pytest.raises(Exception, match="null in series key area"):
         backtest.indexed_rows(df.unionByName(series(None, 62)), keys=["area"], plan=plan).count()
 

@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltframe.plans.asof import asof_join
+from voltframe.plans.asof import asof_rows, matched
 from voltframe.plans.prefix_median import ROWS_PER_CHUNK, running_median
-from voltframe.plans.skew import DAY_MICROS, time_bucket, with_row_index
 from voltframe.session import durable
 
 
@@ -23,26 +22,24 @@ def _ties(measurements: DataFrame) -> list[str]:
     return [c for c in ("interval_start", "revision", "event_id") if c in measurements.columns]
 
 
+def _rows(measurements: DataFrame, origins: DataFrame, by: Sequence[str], value: str, pieces: int | None, **more) -> DataFrame:
+    _require(measurements, ["published_at", "interval_start", value, *by], "measurements")
+    _require(origins, ["forecast_origin", "valid_time", *by], "origins")
+    return asof_rows(
+        origins, measurements, left_on="forecast_origin", right_on="published_at", by=by, tie_break=_ties(measurements), pieces=pieces, **more
+    )
+
+
 def asof_values(
     measurements: DataFrame,
     origins: DataFrame,
     *,
     by: Sequence[str] = (),
     value: str = "value",
-    bucket_micros: int = DAY_MICROS,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Each origin with the whole last measurement published at or before it, and ``is_missing``."""
-    _require(measurements, ["published_at", "interval_start", value, *by], "measurements")
-    _require(origins, ["forecast_origin", "valid_time", *by], "origins")
-    joined = asof_join(
-        origins,
-        measurements,
-        left_on="forecast_origin",
-        right_on="published_at",
-        by=by,
-        tie_break=_ties(measurements),
-        bucket_micros=bucket_micros,
-    )
+    joined = matched(_rows(measurements, origins, by, value, pieces), by)
     return joined.withColumn("is_missing", F.col(value).isNull())
 
 
@@ -52,51 +49,31 @@ def asof_features(
     *,
     by: Sequence[str] = (),
     value: str = "value",
-    bucket_micros: int = DAY_MICROS,
+    pieces: int | None = None,
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """``asof_values`` with missing values replaced by the median of all earlier publications.
 
-    The median at an origin depends only on how many values were published by then, so it is
-    computed once per such position, and only for positions that a missing value asks for.
+    The median at an origin depends only on how many values were published by then (``_known``), which the as-of pass counts along
+    the way. It is computed once per such number, and only for numbers that a missing value asks for.
     """
     keys = list(by)
-    if not keys:
-        # A single group still needs an equi-join key; the remainder by one is always zero.
-        keys = ["_group"]
-        measurements = measurements.withColumn("_group", F.pmod(F.unix_micros("published_at"), F.lit(1)))
-        origins = origins.withColumn("_group", F.pmod(F.unix_micros("forecast_origin"), F.lit(1)))
-    joined = asof_values(measurements, origins, by=keys, value=value, bucket_micros=bucket_micros)
-
-    ties = _ties(measurements)
     # Read several times below, so it is stored once instead of being recomputed.
-    numbered = durable(with_row_index(
-        measurements.filter(F.col(value).isNotNull() & F.col("published_at").isNotNull()),
-        keys=keys,
-        bucket=time_bucket("published_at", bucket_micros),
-        order=[F.col("published_at"), *[F.col(c) for c in ties]],
-        name="seq",
-    ).select(*keys, F.col("published_at").alias("_known_at"), "seq", F.col(value).alias("_known_value")))
-    asked = (
-        joined.filter("is_missing").select(*keys, F.col("forecast_origin").alias("_origin")).distinct()
-    )
-    located = durable(asof_join(
-        asked, numbered.drop("_known_value"), left_on="_origin", right_on="_known_at", by=keys,
-        tie_break=["seq"], bucket_micros=bucket_micros,
-    ).filter(F.col("seq").isNotNull()))
-    medians = running_median(
-        numbered, located.select(*keys, "seq").distinct(), keys=keys, value="_known_value",
-        rows_per_chunk=rows_per_chunk,
-    )
-    fallback = located.join(medians, [*keys, "seq"]).select(
-        *keys, F.col("_origin").alias("forecast_origin"), "running_median"
-    )
-    out = joined.join(fallback, [*keys, "forecast_origin"], "left")
+    rows = durable(_rows(measurements, origins, by, value, pieces, known=F.col(value).isNotNull()))
+    joined = matched(rows, by, "_known").withColumn("is_missing", F.col(value).isNull())
+    last = (F.col("_known") - 1).alias("seq")
+    numbered = rows.filter((F.col("_side") == 0) & F.col("_right")[value].isNotNull()).select(*keys, last, F.col("_right")[value].alias("_value"))
+    wanted = joined.filter(F.col("is_missing") & (F.col("_known") > 0)).select(*keys, last).distinct()
+    medians = running_median(numbered, wanted, keys=keys, value="_value", rows_per_chunk=rows_per_chunk)
+    # One row per number of known values: keys travel as a struct, so that null keys meet as well.
+    place = F.struct(*keys, F.col("seq"))
+    fallback = medians.select(place.alias("_place"), "running_median")
+    out = joined.withColumn("seq", F.when(F.col("is_missing"), F.col("_known") - 1)).withColumn("_place", place)
+    out = out.join(fallback, "_place", "left").drop("_place", "seq", "_known")
     filled = F.when(F.col("is_missing"), F.col("running_median")).otherwise(F.col(value))
     method = (
         F.when(~F.col("is_missing"), "none")
         .when(F.col("running_median").isNotNull(), "prior_median")
         .otherwise("unavailable")
     )
-    out = out.withColumn("imputation_method", method).withColumn(value, filled).drop("running_median")
-    return out if by else out.drop("_group")
+    return out.withColumn("imputation_method", method).withColumn(value, filled).drop("running_median")

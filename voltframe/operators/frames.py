@@ -148,9 +148,7 @@ def holdout_split(
     ``min(288, max(96, n / 5))`` rows instead.
     """
     ts = F.col("valid_time")
-    indexed = with_row_index(
-        frame, keys=keys, bucket=time_bucket(ts), order=[ts], name="_idx", total="_n"
-    )
+    indexed = with_row_index(frame, keys=keys, order=[ts], name="_idx", total="_n")
     return label_holdout(indexed, "_idx", "_n", lead=lead, fraction=fraction, live=live).drop("_idx", "_n")
 
 

@@ -7,9 +7,8 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from voltframe.plans.skew import carry_forward, gather, with_row_index
+from voltframe.plans.skew import carry_forward, gather, running, with_row_index
 
 MIN_IMPROVEMENT = 0.02
 MAX_SLICE_REGRESSION = 0.10
@@ -49,26 +48,6 @@ def promotion_gate(
     return {"promote": reason == "promotion criteria satisfied", "reason": reason}
 
 
-def _running_min_before(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], value: str) -> DataFrame:
-    """Add ``_floor``: the smallest earlier value of the key (null on the first row)."""
-    staged = df.withColumn("_bucket", bucket)
-    earlier_rows = (
-        Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    summary = (
-        staged.groupBy(*keys, "_bucket")
-        .agg(F.min(value).alias("_m"))
-        .select(*keys, "_bucket", F.min("_m").over(earlier).alias("_carry"))
-    )
-    return (
-        staged.withColumn("_local", F.min(value).over(earlier_rows))
-        .join(summary, [*keys, "_bucket"])
-        .withColumn("_floor", F.least("_local", "_carry"))
-        .drop("_bucket", "_local", "_carry")
-    )
-
-
 def _promotions(keys: list[str], order: str, minimum_improvement: float):
     """Stream record-low candidates in order and keep those that beat the champion by enough."""
 
@@ -95,7 +74,7 @@ def release_ledger(
     *,
     keys: Sequence[str],
     order: str,
-    bucket: Column,
+    bucket: Column | None = None,
     minimum_improvement: float = MIN_IMPROVEMENT,
 ) -> DataFrame:
     """Outcome of every candidate ``(keys..., order, version, mae, baseline_mae)`` in sequence.
@@ -109,23 +88,19 @@ def release_ledger(
     keys = list(keys)
     at = F.col(order)
     gate = promotion_gate(F.col("baseline_mae"), F.col("mae"), minimum_improvement=minimum_improvement)
-    first = (
-        candidates.filter(gate["promote"]).groupBy(*keys).agg(F.min(at).alias("_first"))
-    )
-    since = candidates.join(first, keys).filter(at >= F.col("_first")).select(*keys, order, "mae", "_first")
-    records = _running_min_before(since, keys, bucket, [at], "mae").filter(
-        F.col("_floor").isNull() | (F.col("mae") <= F.col("_floor"))
-    )
-    schema = candidates.select(*keys, order).schema
+    # Keys travel as one text, so that a null key is a product of its own.
+    named = candidates.withColumn("_product", F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.lit(0).alias("_"))))
+    first = named.filter(gate["promote"]).groupBy("_product").agg(F.min(at).alias("_first"))
+    since = named.join(first, "_product").filter(at >= F.col("_first")).select("_product", order, "mae")
+    floors = running(since, keys=["_product"], bucket=bucket, order=[at], values={"_floor": ("min", F.col("mae"))}, inclusive=False)
+    records = floors.filter(F.col("_floor").isNull() | (F.col("mae") <= F.col("_floor")))
     promoted = (
-        gather(records.select(*keys, order, "mae"), keys)
-        .sortWithinPartitions(*keys, order)
-        .mapInPandas(_promotions(keys, order, minimum_improvement), schema=schema)
+        gather(records.select("_product", order, "mae"), ["_product"])
+        .sortWithinPartitions("_product", order)
+        .mapInPandas(_promotions(["_product"], order, minimum_improvement), schema=named.select("_product", order).schema)
         .withColumn("promoted", F.lit(True))
     )
-    marked = candidates.join(promoted, [*keys, order], "left").withColumn(
-        "promoted", F.coalesce("promoted", F.lit(False))
-    )
+    marked = named.join(promoted, ["_product", order], "left").withColumn("promoted", F.coalesce("promoted", F.lit(False))).drop("_product")
     champion = F.when(F.col("promoted"), F.struct("version", "mae"))
     judged = carry_forward(
         marked, keys=keys, bucket=bucket, order=[at], value=champion, name="_met", inclusive=False
@@ -202,7 +177,7 @@ def breach_streaks(
     *,
     keys: Sequence[str],
     order: str,
-    bucket: Column,
+    bucket: Column | None = None,
     threshold: float = BREACH_THRESHOLD,
     required: int = REQUIRED_BREACHES,
 ) -> DataFrame:

@@ -14,8 +14,9 @@ from typing import Any
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltframe.operators.calibration import (
@@ -27,7 +28,7 @@ from voltframe.operators.calibration import (
     stacked_blend,
 )
 from voltframe.operators.features import LONG_HORIZON_FEATURES, SHORT_HORIZON_FEATURES
-from voltframe.plans.skew import time_bucket, with_row_index
+from voltframe.plans.skew import order_statistics, quantile_rank, time_bucket, with_row_index
 from voltframe.schemas import unit_for_target
 from voltframe.session import durable
 
@@ -134,7 +135,11 @@ class QuantileForecaster:
 
     def predict(self, rows: DataFrame, *, apply_calibration: bool = True) -> DataFrame:
         raw = self.raw_quantiles(rows)
-        if not apply_calibration or self.corrections is None:
+        return self.calibrated(raw) if apply_calibration else raw
+
+    def calibrated(self, raw: DataFrame) -> DataFrame:
+        """Raw quantiles after the correction of their series; as they are if the model was fitted without calibration."""
+        if self.corrections is None:
             return raw
         corrected = raw.join(self.corrections, self.keys, "left")
         return conformal_apply(corrected, F.col("q_correction")).drop("q_correction")
@@ -162,7 +167,7 @@ class QuantileForecaster:
     def save(self, spark: SparkSession, path: str) -> None:
         meta = {
             "keys": self.keys, "model_version": self.model_version, "feature_names": self.feature_names,
-            "calibrated": self.corrections is not None, **self._settings(),
+            "calibrated": self.corrections is not None, "type": type(self).__name__, **self._settings(),
         }
         self._save_raw(path)
         if self.corrections is not None:
@@ -172,8 +177,11 @@ class QuantileForecaster:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> QuantileForecaster:
         meta = json.loads(spark.read.text(f"{path}/metadata").head()[0])
-        names, calibrated = meta.pop("feature_names"), meta.pop("calibrated")
-        model = cls(**meta)
+        names, calibrated, kind = meta.pop("feature_names"), meta.pop("calibrated"), meta.pop("type", cls.__name__)
+        found = next((c for c in _kinds(QuantileForecaster) if c.__name__ == kind), cls)
+        if not issubclass(found, cls):
+            raise ValueError(f"{path} holds a {kind}, not a {cls.__name__}")
+        model = found(**meta)
         model.feature_names = names
         model._load_raw(spark, path)
         if calibrated:
@@ -181,6 +189,11 @@ class QuantileForecaster:
         return model
 
 
+def _kinds(base: type[QuantileForecaster]) -> list[type[QuantileForecaster]]:
+    """A forecaster class and all classes derived from it."""
+    return [base, *(c for sub in base.__subclasses__() for c in _kinds(sub))]
+
+
 class SeasonalQuantileForecaster(QuantileForecaster):
     """Empirical quantiles by local hour and weekend flag."""
 
@@ -284,6 +297,71 @@ class RandomForestForecaster(PooledRegressionForecaster):
         return {"trees": self.trees, "depth": self.depth}
 
 
+class LeafQuantileForecaster(PooledRegressionForecaster):
+    """A forest whose leaves are filled again: all three quantiles come from values the trees were not grown on.
+
+    Half of the valid times (by hash) grow the trees. The other half falls through them, and every (tree, leaf) gets the exact
+    quantiles of its values. A prediction averages the quantiles of its leaves over the trees. The leaf table has at most
+    ``trees * 2 ** depth`` rows, whatever the number of training rows.
+    """
+
+    model_name = "leaf-quantile"
+    leaves: DataFrame
+
+    def __init__(self, *args: Any, trees: int = 10, depth: int = 6, **kwargs: Any) -> None:
+        super().__init__(*args, **kwargs)
+        self.trees, self.depth = trees, depth
+
+    def _estimator(self):
+        return RandomForestRegressor(labelCol="target", numTrees=self.trees, maxDepth=self.depth, seed=42, leafCol="leaf")
+
+    def _settings(self) -> dict[str, Any]:
+        return {"trees": self.trees, "depth": self.depth}
+
+    def _in_leaves(self, rows: DataFrame) -> DataFrame:
+        leaf = F.transform(vector_to_array("leaf"), lambda x: x.cast("int"))
+        return self.model.transform(rows).withColumn("_leaf", leaf).drop("features", "prediction", "leaf")
+
+    def _fit_raw(self, rows: DataFrame) -> None:
+        from pyspark.ml import Pipeline
+
+        grows = F.pmod(F.xxhash64("valid_time"), F.lit(2)) == 0
+        assembler = VectorAssembler(inputCols=self.feature_names, outputCol="features")
+        self.model = Pipeline(stages=[assembler, self._estimator()]).fit(rows.filter(grows))
+        fallen = self._in_leaves(rows.filter(~grows)).select("target", F.posexplode("_leaf").alias("tree", "leaf"))
+        ranks = {q: quantile_rank(p) for q, p in zip(QUANTILE_COLUMNS, QUANTILES, strict=True)}
+        self.leaves = durable(order_statistics(fallen, keys=["tree", "leaf"], value="target", ranks=ranks))
+
+    def _table(self) -> DataFrame:
+        """All leaves in one row: per tree an array by leaf number, so that a prediction is a lookup by position."""
+        numbered = self.leaves.groupBy("tree").agg(
+            F.map_from_entries(F.collect_list(F.struct("leaf", F.struct(*QUANTILE_COLUMNS)))).alias("_m"), F.max("leaf").alias("_last")
+        )
+        placed = numbered.select("tree", F.transform(F.sequence(F.lit(0), "_last"), lambda i: F.try_element_at("_m", i)).alias("_q"))
+        row = placed.agg(F.map_from_entries(F.collect_list(F.struct("tree", "_q"))).alias("_t"))
+        return row.select(F.transform(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: F.try_element_at("_t", t)).alias("_leaves"))
+
+    def raw_quantiles(self, rows: DataFrame) -> DataFrame:
+        """Leaves that no estimation row fell into are left out of the mean."""
+        table = F.broadcast(self._table())
+        found = F.filter(F.zip_with("_leaves", "_leaf", lambda leaves, i: F.get(leaves, i)), lambda q: q.isNotNull())
+        joined = self._in_leaves(rows).crossJoin(table).withColumn("_found", found)
+
+        def mean(name: str) -> Column:
+            total = F.aggregate("_found", F.lit(0.0), lambda total, leaf: total + leaf[name])
+            return F.try_divide(total, F.size("_found"))
+
+        return monotone(joined.withColumns({q: mean(q) for q in QUANTILE_COLUMNS}).drop("_leaf", "_leaves", "_found"))
+
+    def _save_raw(self, path: str) -> None:
+        self.model.save(f"{path}/raw")
+        self.leaves.write.parquet(f"{path}/leaves")
+
+    def _load_raw(self, spark: SparkSession, path: str) -> None:
+        self.model = PipelineModel.load(f"{path}/raw")
+        self.leaves = spark.read.parquet(f"{path}/leaves")
+
+
 class RobustLinearForecaster(PooledRegressionForecaster):
     model_name = "robust-linear-quantile"
 
@@ -304,6 +382,8 @@ class StackedForecaster(QuantileForecaster):
             RandomForestForecaster(self.keys),
             SeasonalQuantileForecaster(self.keys),
         ]
+        if len(self.members) != len(STACK_WEIGHTS):
+            raise ValueError(f"a stacked forecaster has {len(STACK_WEIGHTS)} members")
 
     def _fit_raw(self, rows: DataFrame) -> None:
         for member in self.members:
@@ -331,7 +411,7 @@ class StackedForecaster(QuantileForecaster):
             member.save(spark, f"{path}/member{i}")
 
     def _load_raw(self, spark: SparkSession, path: str) -> None:
-        self.members = [type(m).load(spark, f"{path}/member{i}") for i, m in enumerate(self.members)]
+        self.members = [QuantileForecaster.load(spark, f"{path}/member{i}") for i in range(len(STACK_WEIGHTS))]
 
 
 class DualHorizonForecaster(QuantileForecaster):
@@ -353,22 +433,26 @@ class DualHorizonForecaster(QuantileForecaster):
         self.short = short or BoostedTreesForecaster(self.keys)
         self.long = long or BoostedTreesForecaster(self.keys)
 
-    def fit(self, rows: DataFrame, **kwargs: Any) -> QuantileForecaster:
+    def _parts(self, rows: DataFrame) -> list[tuple[QuantileForecaster, list[str], DataFrame]]:
+        """Each model with its features and its rows: leads up to the switch, and from it on."""
         if "horizon_step" not in rows.columns:
-            raise ValueError("dual-horizon forecasts require a horizon_step column")
-        return super().fit(rows, **kwargs)
+            raise ValueError("rows need the lead of each forecast in horizon_step")
+        lead = F.col("horizon_step")
+        parts = []
+        for model, wanted, own in (
+            (self.short, SHORT_HORIZON_FEATURES, lead <= self.switch_steps),
+            (self.long, LONG_HORIZON_FEATURES, lead >= self.switch_steps),
+        ):
+            names = [n for n in wanted if n in self.feature_names]
+            if not names:
+                raise ValueError(f"none of the features of the {'short' if model is self.short else 'long'} model is given")
+            chosen = rows.filter(own)
+            parts.append((model, names, rows if chosen.isEmpty() else chosen))
+        return parts
 
     def _fit_raw(self, rows: DataFrame) -> None:
-        short_names = [n for n in SHORT_HORIZON_FEATURES if n in self.feature_names]
-        long_names = [n for n in LONG_HORIZON_FEATURES if n in self.feature_names]
-        if not short_names or not long_names:
-            raise ValueError("short and long horizon feature sets must both be available")
-        step = F.col("horizon_step")
-        for model, names, part in (
-            (self.short, short_names, rows.filter(step <= self.switch_steps)),
-            (self.long, long_names, rows.filter(step >= self.switch_steps)),
-        ):
-            model.fit(part if part.head(1) else rows, feature_names=names)
+        for model, names, own in self._parts(rows):
+            model.fit(own, feature_names=names)
 
     def raw_quantiles(self, rows: DataFrame) -> DataFrame:
         short = self.short.raw_quantiles(rows).withColumnsRenamed({q: f"{q}_s" for q in QUANTILE_COLUMNS})
@@ -388,8 +472,8 @@ class DualHorizonForecaster(QuantileForecaster):
         self.long.save(spark, f"{path}/long")
 
     def _load_raw(self, spark: SparkSession, path: str) -> None:
-        self.short = type(self.short).load(spark, f"{path}/short")
-        self.long = type(self.long).load(spark, f"{path}/long")
+        self.short = QuantileForecaster.load(spark, f"{path}/short")
+        self.long = QuantileForecaster.load(spark, f"{path}/long")
 
 
 MODELS = {
@@ -397,6 +481,7 @@ MODELS = {
     "boosted_trees": BoostedTreesForecaster,
     "random_forest": RandomForestForecaster,
     "robust_linear": RobustLinearForecaster,
+    "leaf_quantile": LeafQuantileForecaster,
     "stacked": StackedForecaster,
     "dual_horizon": DualHorizonForecaster,
 }

@@ -1,8 +1,9 @@
 """As-of joins: for each left row, the newest right row known at that moment.
 
-Both sides are stacked and carried forward in time order, so the data is shuffled once, by
-(key, time bucket); there is no range join and no pair list. The matched right row travels as a
-struct, which keeps null values inside a match apart from "no match".
+Both sides are stacked and carried forward in time order, so there is no range join and no pair list.
+Rows travel in pieces of equal size whatever the crowding in time (or in calendar buckets, where a
+caller knows its series to be regular). The matched right row travels as a struct, which keeps null
+values inside a match apart from "no match".
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltframe.plans.skew import DAY_MICROS, carry_forward, time_bucket
+from voltframe.plans.skew import running, time_bucket
 
 
 def _null_struct_like(df: DataFrame, columns: Sequence[str]) -> Column:
@@ -20,7 +21,7 @@ def _null_struct_like(df: DataFrame, columns: Sequence[str]) -> Column:
     return F.lit(None).cast(f"struct<{fields}>")
 
 
-def asof_join(
+def asof_rows(
     left: DataFrame,
     right: DataFrame,
     *,
@@ -28,49 +29,72 @@ def asof_join(
     right_on: str,
     by: Sequence[str] = (),
     tie_break: Sequence[str] = (),
-    bucket_micros: int = DAY_MICROS,
+    known: Column | None = None,
+    bucket_micros: int | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
-    """Left rows plus the columns of the last right row with ``right_on <= left_on`` in the same key.
-
-    Among right rows at the same instant the one greatest by ``tie_break`` wins.
+    """All rows of both sides: ``by``, ``_side`` (0 right, 1 left), the structs ``_left`` and ``_right``, and ``_match``, the last
+    right row up to this one. With ``known`` (a condition on right columns) also ``_known``: the number of such right rows so far.
     """
     left_columns = [c for c in left.columns if c not in by]
     right_columns = [c for c in right.columns if c not in by]
     clash = set(left_columns) & set(right_columns)
     if clash:
         raise ValueError(f"as-of sides share columns: {sorted(clash)}")
-    left_struct, right_struct = F.struct(*left_columns), F.struct(*right_columns)
-    ties = [F.col(c) for c in tie_break]
-    no_ties = [F.lit(None).cast(right.schema[c].dataType) for c in tie_break]
-    names = [f"_tie{i}" for i in range(len(ties))]
-
+    names = [f"_tie{i}" for i in range(len(tie_break))]
+    counts = known is not None
     stacked = right.filter(F.col(right_on).isNotNull()).select(
         *by,
         F.col(right_on).alias("_ts"),
         F.lit(0).alias("_side"),
-        *[c.alias(n) for c, n in zip(ties, names, strict=True)],
+        *[F.col(c).alias(n) for c, n in zip(tie_break, names, strict=True)],
+        *([F.when(known, 1).otherwise(0).cast("long").alias("_one")] if counts else []),
         _null_struct_like(left, left_columns).alias("_left"),
-        right_struct.alias("_right"),
+        F.struct(*right_columns).alias("_right"),
     ).unionByName(
         left.select(
             *by,
             F.col(left_on).alias("_ts"),
             F.lit(1).alias("_side"),
-            *[c.alias(n) for c, n in zip(no_ties, names, strict=True)],
-            left_struct.alias("_left"),
+            *[F.lit(None).cast(right.schema[c].dataType).alias(n) for c, n in zip(tie_break, names, strict=True)],
+            *([F.lit(0).cast("long").alias("_one")] if counts else []),
+            F.struct(*left_columns).alias("_left"),
             _null_struct_like(right, right_columns).alias("_right"),
         )
     )
-    matched = carry_forward(
+    values = {"_match": ("last", F.col("_right"))} | ({"_known": ("sum", F.col("_one"))} if counts else {})
+    return running(
         stacked,
         keys=by,
-        bucket=time_bucket("_ts", bucket_micros),
+        bucket=None if bucket_micros is None else time_bucket("_ts", bucket_micros),
         order=[F.col("_ts"), F.col("_side"), *[F.col(n) for n in names]],
-        value=F.col("_right"),
-        name="_match",
+        values=values,
+        pieces=pieces,
     )
-    return matched.filter(F.col("_side") == 1).select(
-        *by,
-        *[F.col("_left")[c].alias(c) for c in left_columns],
-        *[F.col("_match")[c].alias(c) for c in right_columns],
+
+
+def matched(rows: DataFrame, by: Sequence[str], *keep: str) -> DataFrame:
+    """Left rows of ``asof_rows`` with the columns of both sides."""
+    sides = [F.col(s)[c].alias(c) for s, t in (("_left", "_left"), ("_match", "_right")) for c in rows.schema[t].dataType.names]
+    return rows.filter(F.col("_side") == 1).select(*by, *sides, *keep)
+
+
+def asof_join(
+    left: DataFrame,
+    right: DataFrame,
+    *,
+    left_on: str,
+    right_on: str,
+    by: Sequence[str] = (),
+    tie_break: Sequence[str] = (),
+    bucket_micros: int | None = None,
+    pieces: int | None = None,
+) -> DataFrame:
+    """Left rows plus the columns of the last right row with ``right_on <= left_on`` in the same key (null keys match each other).
+
+    Among right rows at the same instant the one greatest by ``tie_break`` wins. A left row without a time has no match.
+    """
+    rows = asof_rows(
+        left, right, left_on=left_on, right_on=right_on, by=by, tie_break=tie_break, bucket_micros=bucket_micros, pieces=pieces
     )
+    return matched(rows, by)

@@ -1,23 +1,31 @@
 """Lake folders written by the streaming jobs, and how they are read.
 
-Without a table format there is no MERGE. Silver is an append-only log of batch winners and a view
-that picks the winning revision per business key. Every micro-batch overwrites folders named after
-its batch id, so a retried batch rewrites the same files instead of adding rows.
+Without a table format there is no MERGE. Silver is a set of folders of batch winners, a log of numbered commit records that says
+which folders count and in which order they were stored, and a view that picks the winning revision per business key. A writer first
+writes its folder, named after its own number, and then commits it; whoever has committed once is skipped when retried. Stream
+batches, backfills and compactions share one sequence of commit numbers, so of equal revisions the one committed first stays.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voltframe.operators import curate
 from voltframe.schemas import MANIFEST_SCHEMA
 
-# Backfills are stored after any streaming batch, ordered by their number; runs at the same time differ in the last bits.
+# Writer numbers: stream batches count from 0, backfills have a number from their run id above this base, compactions negative ones.
 BACKFILL_BASE = 10**12
-RUN_BITS = 32
+FOLDERS = ("event_type", "day")
 
 
 @dataclass(frozen=True)
@@ -36,8 +44,8 @@ class Lake:
         return self.path("silver", "log")
 
     @property
-    def compacted(self) -> str:
-        return self.path("silver", "compacted")
+    def commits(self) -> str:
+        return self.path("silver", "commits")
 
     @property
     def late(self) -> str:
@@ -55,22 +63,28 @@ class Lake:
         return self.path("_checkpoints", name)
 
 
-def _matching(spark: SparkSession, pattern: str) -> list[str]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return [str(status.getPath()) for status in (found or [])]
+def _path(spark: SparkSession, name: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(name)
+
 
+def _files(spark: SparkSession, name: str):
+    return _path(spark, name).getFileSystem(spark._jsc.hadoopConfiguration())
 
-def _numbers(spark: SparkSession, pattern: str, label: str) -> list[int]:
-    """Numbers of the folders that are complete; a batch in flight has no success marker yet."""
-    return sorted(int(p.split(f"{label}=")[1].split("/")[0]) for p in _matching(spark, f"{pattern}/_SUCCESS"))
+
+def _matching(spark: SparkSession, pattern: str) -> list[str]:
+    return [str(status.getPath()) for status in (_files(spark, pattern).globStatus(_path(spark, pattern)) or [])]
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """A partitioned Parquet folder, or ``None`` while nothing has been written."""
+    """A partitioned Parquet folder, or ``None`` while no rows have been written."""
     if not _matching(spark, f"{path}/*"):
         return None
-    return spark.read.option("mergeSchema", "false").parquet(path)
+    try:
+        return spark.read.option("mergeSchema", "false").parquet(path)
+    except AnalysisException as empty:
+        if empty.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return None
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, partitions: list[str]) -> None:
@@ -82,30 +96,162 @@ def by_day(df: DataFrame, ts: str, name: str) -> DataFrame:
     return df.withColumn(name, F.to_date(ts))
 
 
+@dataclass
+class Log:
+    """What the commit records add up to.
+
+    ``live`` maps a folder ``event_type=.../day=...`` to the (writer, rank) parts that hold its rows; the rank is the number of the
+    commit, for a compacted part that of the last commit it contains. ``written`` are the writers seen, of stream batches all up to
+    ``stream``.
+    """
+
+    number: int = -1
+    live: dict[str, list[list[int]]] = field(default_factory=dict)
+    schema: str | None = None
+    stream: int = -1
+    written: set[int] = field(default_factory=set)
+
+    def has(self, writer: int) -> bool:
+        return writer in self.written or 0 <= writer <= self.stream
+
+    def add(self, record: dict[str, Any]) -> None:
+        """Apply the next record."""
+        if "state" in record:
+            state = record["state"]
+            self.live, self.schema, self.stream = state["live"], state["schema"], state["stream"]
+            self.written = set(state["written"])
+        else:
+            self.schema = _merged(self.schema, record["schema"])
+            writer, rank = record["writer"], record["number"]
+            if 0 <= writer < BACKFILL_BASE:
+                self.stream = max(self.stream, writer)
+            else:
+                self.written.add(writer)
+            for folder in record["folders"]:
+                self.live.setdefault(folder, []).append([writer, rank])
+        self.number = record["number"]
+
+    def replaced(self, writer: int, upto: int, folders: list[str]) -> dict[str, Any]:
+        """The state once the parts up to a commit in these folders give way to one compacted part."""
+        live = dict(self.live)
+        for folder in folders:
+            live[folder] = [[writer, upto], *(part for part in live[folder] if part[1] > upto)]
+        return {"live": live, "schema": self.schema, "stream": self.stream, "written": sorted(self.written)}
+
+
+def _merged(old: str | None, new: str) -> str:
+    """Stored schema after a commit: columns may be added, not change their type."""
+    if old is None or old == new:
+        return new
+    fields = {f.name: f for f in T.StructType.fromJson(json.loads(old))}
+    for f in T.StructType.fromJson(json.loads(new)):
+        if f.name in fields and fields[f.name].dataType != f.dataType:
+            raise ValueError(f"column {f.name} is stored as {fields[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}")
+        fields.setdefault(f.name, f)
+    return T.StructType(list(fields.values())).json()
+
+
+def read_log(spark: SparkSession, lake: Lake) -> Log:
+    """All commits, read from the newest record that holds a whole state."""
+    names = sorted(_matching(spark, f"{lake.commits}/*.json"))
+    records: list[dict[str, Any]] = []
+    for name in reversed(names):
+        stream = _files(spark, name).open(_path(spark, name))
+        try:
+            records.append(json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        finally:
+            stream.close()
+        if "state" in records[-1]:
+            break
+    log = Log()
+    for record in reversed(records):
+        log.add(record)
+    return log
+
+
+def commit(spark: SparkSession, lake: Lake, record: Callable[[Log], dict[str, Any] | None]) -> int | None:
+    """Store the next commit record; its number, or ``None`` if ``record`` (given the log so far) declines.
+
+    A record is written aside and renamed to its number. The rename fails if somebody else has taken that number; then the
+    record is made anew from the longer log. (Stores must refuse to rename onto an existing file, as HDFS does.)
+    """
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(_path(spark, lake.commits).toUri(), spark._jsc.hadoopConfiguration())
+    files = _files(spark, lake.commits)
+    plain = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    while True:
+        log = read_log(spark, lake)
+        body = record(log)
+        if body is None:
+            return None
+        number = log.number + 1
+        aside = _path(spark, f"{lake.commits}/.{uuid.uuid4().hex}")
+        out = files.create(aside, False)
+        out.write(bytearray(json.dumps(body | {"number": number}).encode()))
+        out.close()
+        try:
+            context.rename(aside, _path(spark, f"{lake.commits}/{number:020d}.json"), plain)
+            return number
+        except Py4JJavaError as taken:
+            files.delete(aside, False)
+            if "FileAlreadyExistsException" not in str(taken.java_exception):
+                raise
+
+
+def _folders(spark: SparkSession, lake: Lake, writer: int) -> list[str]:
+    base = f"{lake.silver_log}/batch_id={writer}"
+    return sorted(p.split(f"batch_id={writer}/")[1] for p in _matching(spark, f"{base}/event_type=*/day=*"))
+
+
 def write_silver(winners: DataFrame, lake: Lake, batch_id: int) -> None:
-    """Winners land in (event_type, day) folders; a business key never leaves its folder.
+    """Winners land in (event_type, day) folders and are committed; a business key never leaves its folder.
 
-    Rebalancing gathers each folder into few files and still splits a hot one.
+    Rebalancing gathers each folder into few files and still splits a hot one. A writer that has committed before is skipped.
     """
-    rows = by_day(winners, "interval_start", "day").hint("rebalance", "event_type", "day")
-    write_batch(rows, lake.silver_log, batch_id, ["event_type", "day"])
+    spark = winners.sparkSession
+    if read_log(spark, lake).has(batch_id):
+        return
+    rows = by_day(winners, "interval_start", "day").hint("rebalance", *FOLDERS)
+    write_batch(rows, lake.silver_log, batch_id, list(FOLDERS))
+    schema = T.StructType([f for f in rows.schema if f.name not in FOLDERS]).json()
+    folders = _folders(spark, lake, batch_id)
+
+    def record(log: Log) -> dict[str, Any] | None:
+        _merged(log.schema, schema)  # refuses a column of another type before anything counts
+        return None if log.has(batch_id) else {"writer": batch_id, "schema": schema, "folders": folders}
+
+    commit(spark, lake, record)
+
+
+def _complete(spark: SparkSession, lake: Lake, log: Log) -> set[int]:
+    """Writers whose folder carries its success marker."""
+    marked = _matching(spark, f"{lake.silver_log}/batch_id=*/_SUCCESS")
+    return {int(p.split("batch_id=")[1].split("/")[0]) for p in marked}
+
+
+def _read_parts(spark: SparkSession, lake: Lake, log: Log, live: dict[str, list[list[int]]]) -> DataFrame:
+    """Rows of the live parts by the stored schema; ``batch_id`` is the rank of their commit."""
+    fields = [*T.StructType.fromJson(json.loads(log.schema)), T.StructField("batch_id", T.LongType())]
+    schema = T.StructType([*fields, T.StructField("event_type", T.StringType()), T.StructField("day", T.DateType())])
+    paths = sorted({f"{lake.silver_log}/batch_id={writer}/{folder}" for folder, parts in live.items() for writer, _ in parts})
+    if not paths:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("basePath", lake.silver_log).parquet(*paths)
+    ranks = sorted({(writer, rank) for parts in live.values() for writer, rank in parts})
+    order = spark.createDataFrame(ranks, "batch_id long, _rank long")
+    # One row per commit since the folders were compacted, read from the log by the driver.
+    ranked = rows.join(F.broadcast(order), "batch_id")
+    return ranked.withColumn("batch_id", F.col("_rank")).drop("_rank").select(*schema.names)
 
 
 def silver_log(spark: SparkSession, lake: Lake) -> DataFrame | None:
-    """All stored winners: the newest complete compaction plus every later batch."""
-    batches = _numbers(spark, f"{lake.silver_log}/batch_id=*", "batch_id")
-    done = _numbers(spark, f"{lake.compacted}/upto=*", "upto")
-    upto = done[-1] if done else -1
-    later = [f"{lake.silver_log}/batch_id={n}" for n in batches if n > upto]
-    parts = []
-    if done:
-        parts.append(spark.read.parquet(f"{lake.compacted}/upto={upto}"))
-    if later:
-        parts.append(spark.read.option("basePath", lake.silver_log).parquet(*later))
-    if not parts:
+    """All stored winners in their committed parts; ``None`` before the first commit."""
+    log = read_log(spark, lake)
+    if log.number < 0:
         return None
-    typed = [p.withColumn("batch_id", F.col("batch_id").cast("long")) for p in parts]
-    return typed[0] if len(typed) == 1 else typed[0].unionByName(typed[1])
+    done = _complete(spark, lake, log)
+    live = {folder: [p for p in parts if p[0] in done] for folder, parts in log.live.items()}
+    return _read_parts(spark, lake, log, live)
 
 
 def read_silver(spark: SparkSession, lake: Lake) -> DataFrame | None:
@@ -114,18 +260,56 @@ def read_silver(spark: SparkSession, lake: Lake) -> DataFrame | None:
 
 
 def compact(spark: SparkSession, lake: Lake) -> int | None:
-    """Rewrite the current state into one folder; readers switch once its success marker exists."""
-    batches = [n for n in _numbers(spark, f"{lake.silver_log}/batch_id=*", "batch_id") if n < BACKFILL_BASE]
-    state = read_silver(spark, lake)
-    if state is None or not batches:
+    """Rewrite the folders that several commits have touched into one part each; the last commit it covers.
+
+    Other folders stay as they are. Commits that land meanwhile have higher numbers and stay beside the compacted parts. The record
+    also holds the whole state, so that readers need no older ones.
+    """
+    log = read_log(spark, lake)
+    done = _complete(spark, lake, log)
+    waiting = [rank for parts in log.live.values() for writer, rank in parts if writer not in done]
+    upto = min([*(rank - 1 for rank in waiting), log.number])
+    if upto < 0:
         return None
-    upto = batches[-1]
-    state = state.filter(F.col("batch_id") <= upto)
-    state = state.hint("rebalance", "event_type", "day")
-    state.write.mode("overwrite").partitionBy("event_type", "day").parquet(f"{lake.compacted}/upto={upto}")
+    covered = {folder: [p for p in parts if p[1] <= upto] for folder, parts in log.live.items()}
+    crowded = {folder: parts for folder, parts in covered.items() if len(parts) > 1}
+    if crowded:
+        writer = -(uuid.uuid4().int >> 66) - 1
+        state = curate.silver_view(_read_parts(spark, lake, log, crowded)).drop("batch_id")
+        write_batch(state.hint("rebalance", *FOLDERS), lake.silver_log, writer, list(FOLDERS))
+        commit(spark, lake, lambda now: {"writer": writer, "state": now.replaced(writer, upto, sorted(crowded))})
     return upto
 
 
+def vacuum(spark: SparkSession, lake: Lake, *, keep: int = 10) -> list[int]:
+    """Delete committed writers' folders that no state since the last ``keep`` commits reads; their numbers.
+
+    Readers that began before those commits must have ended. Folders that were never committed are left to their writers.
+    """
+    log = read_log(spark, lake)
+    names = sorted(_matching(spark, f"{lake.commits}/*.json"))
+    used = {writer for parts in log.live.values() for writer, _ in parts}
+    recent = spark.read.text(names[-keep:], wholetext=True).collect() if names and keep else []
+    for row in recent:
+        record = json.loads(row.value)
+        used.add(record["writer"])
+        used |= {writer for parts in record.get("state", {}).get("live", {}).values() for writer, _ in parts}
+    stored = _complete(spark, lake, log)
+    compactions = _compactions(spark, names)
+    gone = sorted(w for w in stored - used if (w in compactions if w < 0 else log.has(w)))
+    for writer in gone:
+        _files(spark, lake.silver_log).delete(_path(spark, f"{lake.silver_log}/batch_id={writer}"), True)
+    return gone
+
+
+def _compactions(spark: SparkSession, names: list[str]) -> set[int]:
+    """Writers of committed compactions."""
+    if not names:
+        return set()
+    found = (json.loads(row.value)["writer"] for row in spark.read.text(names, wholetext=True).collect())
+    return {writer for writer in found if writer < 0}
+
+
 def run_backfill(spark: SparkSession, lake: Lake, source: str, start: str, end: str) -> str:
     """Merge late rows of ``[start, end)`` into silver once per request; returns the run id."""
     run, _ = curate.backfill_run_id(source, start, end)
@@ -135,17 +319,15 @@ def run_backfill(spark: SparkSession, lake: Lake, source: str, start: str, end:
     late = read_table(spark, lake.late)
     if late is None:
         return run_id
-    before = _numbers(spark, f"{lake.silver_log}/batch_id=*", "batch_id")
-    number = len(_matching(spark, f"{lake.manifests}/run=*/_SUCCESS"))
-    batch_id = BACKFILL_BASE + (number << RUN_BITS) + int(run_id[: RUN_BITS // 4], 16)
+    before = read_log(spark, lake).number
+    writer = BACKFILL_BASE + int(run_id[:15], 16)
     lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    rows = curate.backfill_candidates(late.drop("batch_id"), source, lo, hi)
-    write_silver(rows, lake, batch_id)
+    write_silver(curate.backfill_candidates(late.drop("batch_id"), source, lo, hi), lake, writer)
     manifest = curate.backfill_manifest(late, None, source, start, end, F.current_timestamp())
     manifest.withColumns(
         {
-            "before_snapshot_id": F.lit(str(before[-1]) if before else None).cast("string"),
-            "after_snapshot_id": F.lit(str(batch_id)),
+            "before_snapshot_id": F.lit(str(before) if before >= 0 else None).cast("string"),
+            "after_snapshot_id": F.lit(str(read_log(spark, lake).number)),
         }
     ).select(*MANIFEST_SCHEMA.names).coalesce(1).write.mode("overwrite").parquet(f"{lake.manifests}/run={run_id}")
     return run_id

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from voltframe.functions.timegrid import calendar_columns
 from voltframe.functions.metrics import evaluate as evaluate_columns
-from voltframe.operators import asof, backtest, calibration, evaluate, features, frames, learners, monitoring, series
-from voltframe.plans.skew import HOUR_MICROS
+from voltframe.operators import asof, backtest, calibration, evaluate, features, fold_blocks, frames, learners, monitoring, series
 from voltframe.session import durable
 from voltframe.workload.history import CALENDAR_SQL
 from voltframe.workload.registry import register
@@ -187,10 +186,8 @@ def asof_join(t):
     ON o.forecast_origin >= p.published_at""",
 )
 def asof_join_all(t):
-    """The same without keys: one global publication stream, still split by time bucket."""
-    joined = asof.asof_values(
-        publications(t).drop("user_id"), origins(t).drop("user_id"), bucket_micros=HOUR_MICROS
-    )
+    """The same without keys: one global publication stream, still split into pieces of equal size."""
+    joined = asof.asof_values(publications(t).drop("user_id"), origins(t).drop("user_id"))
     return joined.select("origin_id", "published_at", "event_id", "value")
 
 
@@ -643,6 +640,67 @@ def benchmark_table(t):
     return backtest.benchmark_table(summary, market=F.col("area"), target=F.col("event_type"), plan=P)
 
 
+LINEAR = f"""WITH {FOLDS},
+fits AS (SELECT {KEYS}, fold, regr_intercept(target, baseline_7d) AS a, regr_slope(target, baseline_7d) AS b FROM members WHERE role = 'fit' GROUP BY 1, 2, 3),
+raw AS (SELECT m.*, a + b * baseline_7d AS p FROM members m JOIN fits USING (event_type, area, fold) WHERE role <> 'fit' AND target IS NOT NULL),
+scores AS (SELECT {KEYS}, fold, list_sort(list(abs(p - target) / 0.0001::DOUBLE)) AS s, count(*) AS n FROM raw WHERE role = 'calibrate' GROUP BY 1, 2, 3),
+corr AS (SELECT {KEYS}, fold, s[CAST(least(n, ceil((n + 1) * 0.8::DOUBLE) + 1) AS BIGINT)] * 0.0001::DOUBLE AS by FROM scores)
+SELECT {KEYS}, fold, valid_time, target AS actual, p - by AS p10, p AS p50, p + by AS p90 FROM raw JOIN corr USING (event_type, area, fold) WHERE role = 'test'"""
+
+
+@register("linear_backtest", LINEAR, digits=5, doubles="actual p10 p50 p90")
+def linear_backtest(t):
+    """A least-squares learner on last week's value in every fold, fitted from block statistics that read each row once."""
+    based = backtest.shifted_values(t.series, keys=SERIES_KEYS, steps_per_day=24, offsets={"baseline_7d": 168})
+    out = fold_blocks.linear_backtest(based, keys=SERIES_KEYS, plan=P, features=["baseline_7d"])
+    return out.select(*SERIES_KEYS, "fold", "valid_time", "actual", "p10", "p50", "p90")
+
+
+@register(
+    "fold_quantiles",
+    f"""WITH {FOLDS}, q AS (SELECT {KEYS}, fold, hour, quantile_cont(target, [0.1, 0.5, 0.9]) AS q FROM members WHERE role = 'fit' GROUP BY 1, 2, 3, 4)
+    SELECT {KEYS}, fold, hour, {QUANTILES} FROM q""",
+    doubles="p10 p50 p90",
+)
+def fold_quantiles(t):
+    """Quantiles by hour of every fold's training window, from value counts per block."""
+    rows = backtest.indexed_rows(t.series, keys=SERIES_KEYS, plan=P).withColumn("hour", calendar_columns(F.col("valid_time"))["hour"])
+    counts = durable(fold_blocks.count_blocks(rows, keys=SERIES_KEYS, plan=P, by=["hour"], target="value"))
+    folds = fold_blocks.folds_of(rows, SERIES_KEYS)
+    out = fold_blocks.fold_quantiles(counts, folds, keys=SERIES_KEYS, plan=P, by=["hour"], quantiles=learners.QUANTILES)
+    return out.select(*SERIES_KEYS, "fold", "hour", *[F.col("q")[i].alias(n) for i, n in enumerate(learners.QUANTILE_COLUMNS)])
+
+
+NO_METRICS = ", ".join(f"CAST(NULL AS DOUBLE) AS {m}" for m in METRIC_NAMES.split()[1:])
+SLICED = f"SELECT {KEYS}, '{{section}}' AS section, CAST({{slice}} AS VARCHAR) AS slice, avg(e) AS mae, {NO_METRICS}, count(*) AS n FROM marked {{where}} GROUP BY 1, 2, 4"
+
+
+@register(
+    "backtest_report",
+    f"""WITH {PREDICTED},
+    three AS (SELECT {KEYS}, 'model' AS slice, actual, p10, p50, p90 FROM preds
+      UNION ALL SELECT {KEYS}, 'baseline_24h', actual, baseline_24h, baseline_24h, baseline_24h FROM preds WHERE baseline_24h IS NOT NULL
+      UNION ALL SELECT {KEYS}, 'baseline_7d', actual, baseline_7d, baseline_7d, baseline_7d FROM preds WHERE baseline_7d IS NOT NULL),
+    peaks AS (SELECT event_type, area, quantile_cont(actual, 0.95) AS q95 FROM preds GROUP BY 1, 2),
+    marked AS (SELECT p.*, q95, abs(actual - predicted) AS e, {LOCAL_DAILY} AS l FROM preds p JOIN peaks USING (event_type, area))
+    SELECT {KEYS}, 'overall' AS section, slice, {METRICS.format(wape=WAPE_UNLESS_PRICE)}, count(*) AS n FROM three GROUP BY 1, 2, 4
+    UNION ALL SELECT {KEYS}, 'fold', CAST(fold AS VARCHAR), {METRICS.format(wape=WAPE_UNLESS_PRICE)}, count(*) FROM preds GROUP BY 1, 2, fold
+    UNION ALL {SLICED.format(section="hour", slice="hour(l)", where="")}
+    UNION ALL {SLICED.format(section="season", slice="CASE WHEN month(l) IN (12, 1, 2) THEN 'Winter' WHEN month(l) <= 5 THEN 'Spring' WHEN month(l) <= 8 THEN 'Summer' ELSE 'Autumn' END", where="")}
+    UNION ALL {SLICED.format(section="day_type", slice="CASE WHEN isodow(l) >= 6 THEN 'Weekend' ELSE 'Weekday' END", where="")}
+    UNION ALL {SLICED.format(section="regime", slice="CASE WHEN actual >= q95 THEN 'peak' ELSE 'normal' END", where="")}
+    UNION ALL {SLICED.format(section="regime", slice="'price_spike'", where="WHERE event_type = 'purchase' AND actual > 150")}
+    UNION ALL {SLICED.format(section="regime", slice="'negative_price'", where="WHERE event_type = 'purchase' AND actual < 0")}""",
+    digits=8,
+    doubles="mae rmse wape mape interval_coverage",
+    coarse=COARSE,
+    coarse_digits=3,
+)
+def backtest_report(t):
+    """The composed report: all metrics of model and baselines, every fold, and the error by hour, season, day type and regime."""
+    return backtest.backtest_report(predictions(t), keys=SERIES_KEYS, allow_wape=not_price(), is_price=~not_price())
+
+
 HOLDOUT = f"""WITH {SERIES},
 complete AS (SELECT *, lag(value, 168) OVER ({OVER}) AS base, lag(value, 359) OVER ({OVER}) AS b,
   (valid_time AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Madrid' AS l FROM series),
@@ -712,6 +770,15 @@ def gbt_quantile_forecast(t):
     return model.predict(held).select(*SERIES_KEYS, "valid_time", "target", "p10", "p50", "p90")
 
 
+@register("leaf_quantile_forecast")
+def leaf_quantile_forecast(t):
+    """All three quantiles straight from the leaves of a forest, filled with values it was not grown on, then calibrated."""
+    train, held = learner_rows(t)
+    model = learners.LeafQuantileForecaster(keys=SERIES_KEYS, trees=5, depth=4)
+    model.fit(train, feature_names=NUMERIC, calibration_fraction=0.15)
+    return model.predict(held).select(*SERIES_KEYS, "valid_time", "target", "p10", "p50", "p90")
+
+
 @register("model_zoo")
 def model_zoo(t):
     """Every learner behind the same interface, compared on the same holdout."""

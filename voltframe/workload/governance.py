@@ -135,9 +135,7 @@ released AS (SELECT area, target, product, evaluated_at, version, mae, baseline_
 
 
 def ledger(t):
-    return governance.release_ledger(
-        t.candidates, keys=PRODUCT, order="evaluated_at", bucket=time_bucket("evaluated_at", 30 * DAY_MICROS)
-    )
+    return governance.release_ledger(t.candidates, keys=PRODUCT, order="evaluated_at")
 
 
 LEDGER_DOUBLES = "mae baseline_mae reference_error champion_error previous_error"
@@ -193,9 +191,7 @@ def rollback_swap(t):
 )
 def breach_streaks(t):
     """Consecutive degraded windows and the rollback flag."""
-    streaks = governance.breach_streaks(
-        t.windows, keys=["area", "target"], order="window_start", bucket=time_bucket("window_start")
-    )
+    streaks = governance.breach_streaks(t.windows, keys=["area", "target"], order="window_start")
     return streaks.select("area", "target", "window_start", "degraded", "consecutive_breaches", "rollback")
 
 
