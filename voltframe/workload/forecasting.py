@@ -644,8 +644,8 @@ LINEAR = f"""WITH {FOLDS},
 fits AS (SELECT {KEYS}, fold, regr_intercept(target, baseline_7d) AS a, regr_slope(target, baseline_7d) AS b FROM members WHERE role = 'fit' GROUP BY 1, 2, 3),
 raw AS (SELECT m.*, a + b * baseline_7d AS p FROM members m JOIN fits USING (event_type, area, fold) WHERE role <> 'fit' AND target IS NOT NULL),
 scores AS (SELECT {KEYS}, fold, list_sort(list(abs(p - target) / 0.0001::DOUBLE)) AS s, count(*) AS n FROM raw WHERE role = 'calibrate' GROUP BY 1, 2, 3),
-corr AS (SELECT {KEYS}, fold, s[CAST(least(n, ceil((n + 1) * 0.8::DOUBLE) + 1) AS BIGINT)] * 0.0001::DOUBLE AS by FROM scores)
-SELECT {KEYS}, fold, valid_time, target AS actual, p - by AS p10, p AS p50, p + by AS p90 FROM raw JOIN corr USING (event_type, area, fold) WHERE role = 'test'"""
+corr AS (SELECT {KEYS}, fold, s[CAST(least(n, ceil((n + 1) * 0.8::DOUBLE) + 1) AS BIGINT)] * 0.0001::DOUBLE AS amount FROM scores)
+SELECT {KEYS}, fold, valid_time, target AS actual, p - amount AS p10, p AS p50, p + amount AS p90 FROM raw JOIN corr USING (event_type, area, fold) WHERE role = 'test'"""
 
 
 @register("linear_backtest", LINEAR, digits=5, doubles="actual p10 p50 p90")
@@ -694,7 +694,7 @@ SLICED = f"SELECT {KEYS}, '{{section}}' AS section, CAST({{slice}} AS VARCHAR) A
     digits=8,
     doubles="mae rmse wape mape interval_coverage",
     coarse=COARSE,
-    coarse_digits=3,
+    coarse_digits=5,
 )
 def backtest_report(t):
     """The composed report: all metrics of model and baselines, every fold, and the error by hour, season, day type and regime."""
