@@ -504,3 +504,28 @@ def test_segmentations_are_distinct_whole_and_reproducible(text_spark, odd, none
     assert all(r["round_trip"] for r in got) and {r["id"] for r in got} == {r[0] for r in ODD_ROWS}
     assert all(r["ids"] == [] and r["sample"] == 1 for r in got if r["id"] in (3, 4))
     assert sampling.sample_segmentations(none).count() == 0
+
+
+# Faults found by review
+
+
+def test_dates_at_both_ends_of_the_calendar_stay_dates_and_come_back(text_spark):
+    dates = ["9999-12-31", "31.12.9999", "0001-01-01", "01/01/0001", "0199-12-31", "0200-01-01", "9799-12-31", "9800-01-01", "1987-05-23"]
+    df = text_spark.createDataFrame([(i, f"on {d} it was") for i, d in enumerate(dates)], "doc_id long, text string")
+    masked = pii.pseudonymise(df).orderBy("doc_id").collect()
+    for r, d in zip(masked, dates):
+        assert re.sub(r"\d", "9", r["masked_text"]) == re.sub(r"\d", "9", f"on {d} it was") and r["masked_text"] != r["text"]
+    back = pii.pseudonymise(text_spark.createDataFrame([(r["doc_id"], r["masked_text"]) for r in masked], "doc_id long, text string"), inverse=True)
+    assert [r["masked_text"] for r in back.orderBy("doc_id").collect()] == [f"on {d} it was" for d in dates]
+
+
+def test_numerals_are_no_letters():
+    assert langid.sequences("½ ² ¾ Ⅷ ① 12") == [] and langid.sequences("½a Ⅷ b") == [["½a", "b"]]
+
+
+def test_lines_with_any_extra_columns(text_spark):
+    names = ("_removed", "_shared", "_row", "_found", "_k1", "_n", "_first", "clean_text", "n_lines")
+    df = text_spark.createDataFrame([(i, f"own {i}\nshared line", f"s{i}") for i in range(6)], "doc_id long, text string, source string")
+    rows = line_dedup.drop_boilerplate(df.withColumns({c: F.lit(f"x{c}") for c in names})).collect()
+    assert {r["doc_id"]: r["clean_text"] for r in rows} == {0: "own 0\nshared line", **{i: f"own {i}" for i in range(1, 6)}}
+    assert all(r["_removed"] == "x_removed" and r["_row"] == "x_row" and r["n_lines"] == 2 for r in rows)

@@ -32,7 +32,8 @@ def sequences(text: str | None) -> list[list[str]]:
     """Lower-case words, a sequence per line; long lines are cut into sequences of ``SEQUENCE`` words."""
     found = []
     for line in (text or "").lower().split("\n"):
-        words = WORD.findall(line)
+        # Numerals such as fractions match the pattern, but a word has a letter.
+        words = [w for w in WORD.findall(line) if w.isalpha() or any(map(str.isalpha, w))]
         found += [words[i : i + SEQUENCE] for i in range(0, len(words), SEQUENCE)]
     return found
 

@@ -30,6 +30,10 @@ CANDIDATE = rf"{EMAIL}|(?=[\d(+])(?:{'|'.join(f'(?:{p})' for p in NUMBERS.values
 # 400 Gregorian years have 146,097 = 189 * 773 days, so a day in such a span is a pair of digits.
 SPAN, SPAN_HIGH, SPAN_LOW = 146097, 189, 773
 EPOCH = "1800-01-01"
+# Days from the epoch: the calendar's first day, the first whole span (year 200) and the span that its end cuts (year 9800). The parts
+# of a span before and after have 72,683 = 13 * 5591 and 73,048 = 184 * 397 days.
+FIRST_DAY, FIRST_SPAN, LAST_SPAN = -657071, -584388, 2921940
+FIRST_PAIR, LAST_PAIR = (13, 5591), (184, 397)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -223,13 +227,18 @@ def day_of(m: Column) -> Column:
 
 
 def mask_date(m: Column, key: Column, inverse: bool) -> Column:
-    """The day moves inside its span of 400 years from 1800; the written form (ISO, or day first) stays."""
+    """The day moves inside its span of 400 years from 1800 (at both ends of the calendar 0001 to 9999, inside the part of a span that
+    is in it); the written form (ISO, or day first) stays."""
 
     def build(days: Column) -> Column:
-        place = F.pmod(days, F.lit(SPAN))
-        pair = F.array((place / SPAN_LOW).cast("int"), (place % SPAN_LOW).cast("int"))
-        moved = feistel(pair, ints([SPAN_HIGH, SPAN_LOW]), key, "date", inverse)
-        day = let(moved, lambda p: F.date_add(F.to_date(F.lit(EPOCH)), (days - place + F.element_at(p, 1) * SPAN_LOW + F.element_at(p, 2)).cast("int")))
+        early, late = days < FIRST_SPAN, days >= LAST_SPAN
+        high = F.when(early, FIRST_PAIR[0]).when(late, LAST_PAIR[0]).otherwise(SPAN_HIGH)
+        low = F.when(early, FIRST_PAIR[1]).when(late, LAST_PAIR[1]).otherwise(SPAN_LOW)
+        start = F.when(early, FIRST_DAY).when(late, LAST_SPAN).otherwise(days - F.pmod(days, F.lit(SPAN)))
+        place = days - start
+        pair = F.array((place / low).cast("int"), (place % low).cast("int"))
+        moved = feistel(pair, F.array(high, low), key, "date", inverse)
+        day = let(moved, lambda p: F.date_add(F.to_date(F.lit(EPOCH)), (start + F.element_at(p, 1) * low + F.element_at(p, 2)).cast("int")))
         sep = F.substring(m, 3, 1)
         return let(
             day,
