@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltframe.llm import langid, line_dedup, packing, pii, simhash
-from voltframe.llm.common import documents, prepare, shared_folder
+from voltframe.llm.common import documents, prepare, shared_folder, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # Below this mean marginal the words are about evenly spread over the languages.
@@ -25,27 +25,35 @@ def with_text(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("text", F.col(text)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number each, stored so that the numbers stay: a stage decides by row, as ids may be null or repeat."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters or without a leading language go; the others keep their text and get the language found."""
     prepare(spark)
-    found = langid.identify(docs, langid.fit(docs))
+    rows = numbered(docs)
+    found = langid.identify(rows, langid.fit(docs), id_col="_row")
     kept = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
-    kept = kept.groupBy("id").agg(F.max("lang_pred").alias("_lang"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id"))).withColumn("lang", F.col("_lang")).select(*COLUMNS)
+    kept = kept.select(F.col("id").alias("_row"), F.col("lang_pred").alias("_lang"))
+    return rows.join(kept, "_row").withColumn("lang", F.col("_lang")).select(*COLUMNS)
 
 
 def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand on many sites go, everywhere but at their first place and in documents of nothing else. No document goes."""
     prepare(spark)
-    return with_text(line_dedup.drop_boilerplate(docs, min_chars=0, half_stays=False), "clean_text")
+    return with_text(line_dedup.drop_boilerplate(docs), "clean_text")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the row with the smallest id stays (null ids last)."""
     prepare(spark)
-    groups = simhash.near_duplicates(docs)
-    first = groups.filter(F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("id"))).dropDuplicates(["doc_id"]).select(*COLUMNS)
+    rows = numbered(docs)
+    groups = simhash.near_duplicates(rows, id_col="_row").withColumnRenamed("id", "_row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
