@@ -18,7 +18,8 @@ HEADLINE = (
     "lag_features", "ema_features", "rolling_features", "horizon_features", "asof_join", "asof_impute",
     "training_frame", "future_frame", "conformal_fit", "stacked_blend", "slice_regime", "holdout_eval",
     "seasonal_quantile_forecast", "backtest_summary", "forecast_upsert", "latest_forecasts", "release_ledger",
-    "breach_streaks", "weather_weighted", "xml_points",
+    "breach_streaks", "weather_weighted", "xml_points", "asof_join_all", "baselines", "holdout_split", "dual_training_rows",
+    "feature_drift_psi", "conformal_apply", "snapshot_tree", "linear_backtest", "fold_quantiles", "backtest_report", "live_forecast",
 )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import threading
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import pytest
@@ -97,11 +97,10 @@ def test_two_backfills_at_once_both_count_and_one_twice_counts_once(spark, lake)
     late_rows(spark, lake, ("x", 0, 1.0, 1), ("y", 3, 2.0, 1))
     first = ("fixture", "2025-01-01T00:00:00+00:00", "2025-01-02T00:00:00+00:00")
     second = ("fixture", "2025-01-02T00:00:00+00:00", "2025-01-09T00:00:00+00:00")
-    threads = [threading.Thread(target=run_backfill, args=(spark, lake, *a)) for a in (first, second, first)]
-    for t in threads:
-        t.start()
-    for t in threads:
-        t.join(120)
+    with ThreadPoolExecutor(3) as pool:
+        runs = [pool.submit(run_backfill, spark, lake, *a) for a in (first, second, first)]
+        ids = [r.result(120) for r in runs]
+    assert ids[0] == ids[2] != ids[1]
     assert view(spark, lake) == {"a": (1.0, 1), "x": (1.0, 1), "y": (2.0, 1)}
     log = read_log(spark, lake)
     assert log.number == 2 and len(log.written) == 2

@@ -97,7 +97,7 @@ class _Chunked:
     """
 
     def __init__(self, keys: Sequence[str], chunk: str, day: int, week: int) -> None:
-        self.parts = [F.col(k) for k in (*keys, chunk)]
+        self.parts = [F.col(k) for k in (*keys, chunk, "_segment")]
         self.day, self.week = day, week
 
     @staticmethod
@@ -205,7 +205,9 @@ def history_features(
 ) -> DataFrame:
     """Add lag, EMA and rolling features as known ``lead`` steps before each row.
 
-    ``pos`` defaults to the grid position of ``valid_time``; pass a row index for irregular frames.
+    ``pos`` defaults to the grid position of ``valid_time``; pass a row index to count rows instead. No window reaches over a hole:
+    the rows between two holes are a segment with a history of its own, so features are null until it is long enough, whatever the
+    chunk size. Two rows at one position are an error.
     """
     if lead < 1:
         raise ValueError("lead must be positive")
@@ -218,8 +220,15 @@ def history_features(
         staged, "_pos", before=14 * day + lead - 1, rows_per_chunk=rows_per_chunk
     )
     # One shuffle by (key, chunk) serves every window below.
-    staged = staged.repartition(*keys, chunk).withColumns(
-        _Chunked.blocks(F.col("_pos"), day, week)
+    in_turn = Window.partitionBy(*[F.col(k) for k in (*keys, chunk)]).orderBy("_pos")
+    jump = F.col("_pos") - F.lag("_pos").over(in_turn)
+    # A segment is numbered within its chunk, whose halo holds all rows that a window may reach.
+    broken = F.when(jump == 0, F.raise_error(F.lit("two rows of a series at one time")).cast("int")).when(jump > 1, 1).otherwise(0)
+    staged = (
+        staged.repartition(*keys, chunk)
+        .withColumn("_broken", broken)
+        .withColumn("_segment", F.sum("_broken").over(in_turn))
+        .withColumns(_Chunked.blocks(F.col("_pos"), day, week))
     )
     windows = _Chunked(keys, chunk, day, week)
     ema_head, ema_back = windows.head("week"), windows.week_back
@@ -343,8 +352,15 @@ def horizon_features(
     value: str = "value",
     country_code: str = "ES",
     drop_incomplete: bool = True,
+    refuse_irregular: bool = False,
 ) -> DataFrame:
-    """Calendar at the valid time plus history as known ``lead`` steps earlier, and the target."""
+    """Calendar at the valid time plus history as known ``lead`` steps earlier, and the target.
+
+    Every segment between two holes starts its history anew; ``refuse_irregular`` raises for a series with a hole, a repeated time or
+    a null value instead (one small job).
+    """
+    if refuse_irregular:
+        require_regular(df, keys=keys, steps_per_day=steps_per_day, value=value)
     out = (
         history_features(df, keys=keys, steps_per_day=steps_per_day, lead=lead, value=value)
         .withColumns(calendar_columns(F.col("valid_time"), country_code))

@@ -20,6 +20,15 @@ def improvement(champion: Column, challenger: Column) -> Column:
     return F.try_divide(champion - challenger, champion)
 
 
+# What the gate says, an output value of release records.
+REASONS = {
+    "champion": "champion error must be positive",
+    "improvement": "challenger does not improve primary error by {:g}%",
+    "slice": "challenger regresses a critical slice by more than {:g}%",
+    "promote": "promotion criteria satisfied",
+}
+
+
 def promotion_gate(
     champion: Column,
     challenger: Column,
@@ -37,15 +46,12 @@ def promotion_gate(
         )
     )
     reason = (
-        F.when(champion <= 0, "champion error must be positive")
-        .when(
-            improvement(champion, challenger) < minimum_improvement,
-            f"challenger does not improve primary error by {100 * minimum_improvement:g}%",
-        )
-        .when(regresses, f"challenger regresses a critical slice by more than {100 * maximum_slice_regression:g}%")
-        .otherwise("promotion criteria satisfied")
+        F.when(champion <= 0, REASONS["champion"])
+        .when(improvement(champion, challenger) < minimum_improvement, REASONS["improvement"].format(100 * minimum_improvement))
+        .when(regresses, REASONS["slice"].format(100 * maximum_slice_regression))
+        .otherwise(REASONS["promote"])
     )
-    return {"promote": reason == "promotion criteria satisfied", "reason": reason}
+    return {"promote": reason == REASONS["promote"], "reason": reason}
 
 
 def _promotions(keys: list[str], order: str, minimum_improvement: float):
@@ -150,6 +156,8 @@ def rollback(state: DataFrame, *, strict: bool = True, at: Column | None = None)
         "previous_error": F.col("champion_error"),
         "status": F.lit("rolled_back"),
     }
+    if "previous_artifact_uri" in state.columns:
+        swapped |= {"champion_artifact_uri": F.col("previous_artifact_uri"), "previous_artifact_uri": F.col("champion_artifact_uri")}
     if at is not None:
         swapped["last_evaluated_at"] = at
     return chosen.withColumns(swapped)

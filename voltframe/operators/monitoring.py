@@ -125,3 +125,40 @@ def snapshot_id(events: DataFrame, *, keys: Sequence[str], column: str = "payloa
             *keys, F.concat(F.lit("live-"), F.substring("digest", 1, 20)).alias("snapshot_id"), "checksums"
         )
     )
+
+
+def snapshot_leaves(events: DataFrame, *, keys: Sequence[str], column: str = "payload_checksum", prefix: int = 4) -> DataFrame:
+    """Leaves of a digest tree: per key and checksum prefix the digest of the sorted distinct checksums, and their number.
+
+    Checksums are hash values, so the leaves of a key are of about equal size; ``prefix`` hexadecimal digits give ``16 ** prefix`` of
+    them. Any source payload touches one leaf only.
+    """
+    text = F.col(column)
+    distinct = events.filter(text.isNotNull() & (text != "")).select(*keys, text.alias("_sum")).distinct()
+    leaves = distinct.groupBy(*keys, F.substring("_sum", 1, prefix).alias("leaf"))
+    return leaves.agg(F.array_sort(F.collect_list("_sum")).alias("_sums")).select(
+        *keys, "leaf", F.sha2(F.array_join("_sums", "|"), 256).alias("digest"), F.size("_sums").cast("long").alias("checksums")
+    )
+
+
+def snapshot_root(leaves: DataFrame, *, keys: Sequence[str], prefix: int = 4) -> DataFrame:
+    """Root of the tree: two digits at a time, a node is the digest of its children's names and digests in order."""
+    nodes = leaves
+    for length in range((prefix - 1) // 2 * 2, -1, -2):
+        children = F.array_sort(F.collect_list(F.struct("leaf", "digest")))
+        nodes = nodes.groupBy(*keys, F.substring("leaf", 1, length).alias("leaf")).agg(children.alias("_c"), F.sum("checksums").alias("checksums"))
+        named = F.transform("_c", lambda c: F.concat(c["leaf"], F.lit(":"), c["digest"]))
+        nodes = nodes.select(*keys, "leaf", F.sha2(F.array_join(named, "|"), 256).alias("digest"), "checksums")
+    return nodes.select(*keys, F.concat(F.lit("tree-"), F.substring("digest", 1, 20)).alias("snapshot_id"), "checksums")
+
+
+def update_leaves(
+    leaves: DataFrame, stored: DataFrame, added: DataFrame, *, keys: Sequence[str], column: str = "payload_checksum", prefix: int = 4
+) -> DataFrame:
+    """Leaves after more events arrived: only those whose prefix the new checksums touch are made anew from the stored events."""
+    leaf = F.substring(column, 1, prefix)
+    at = F.struct(*keys, F.col("leaf"))
+    touched = added.filter(F.col(column) != "").withColumn("leaf", leaf).select(at.alias("_at")).distinct()
+    both = stored.select(*keys, column).unionByName(added.select(*keys, column)).withColumn("leaf", leaf).withColumn("_at", at)
+    renewed = snapshot_leaves(both.join(touched, "_at", "left_semi"), keys=keys, column=column, prefix=prefix)
+    return leaves.withColumn("_at", at).join(touched, "_at", "left_anti").drop("_at").unionByName(renewed)

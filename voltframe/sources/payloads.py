@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from voltframe.functions.hashing import iso_utc, uuid5_url
+from voltframe.operators.curate import contract_violations
 from voltframe.schemas import EVENT_SCHEMA, STATION_SCHEMA, STATIONS, WEATHER_DIMENSIONS, WEATHER_UNITS
 
 # Period resolutions in seconds; other resolutions are skipped.
@@ -77,8 +80,18 @@ def market_points(documents: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
-def market_events(documents: DataFrame, target: str, *, area: str, retrieved_at: Column, payload: str = "payload") -> DataFrame:
-    """Points as canonical events of one target and area."""
+def _provenance(source_url: str | None, request_params: dict[str, str] | None) -> list[Column]:
+    """Where a payload came from, as event columns."""
+    params = [F.lit(x) for item in sorted((request_params or {}).items()) for x in item]
+    known = F.create_map(*params) if params else F.create_map().cast("map<string,string>")
+    return [F.lit(source_url).cast("string").alias("source_url"), known.alias("request_params")]
+
+
+def market_events(
+    documents: DataFrame, target: str, *, area: str, retrieved_at: Column, payload: str = "payload", source_url: str | None = None,
+    request_params: dict[str, str] | None = None,
+) -> DataFrame:
+    """Points as canonical events of one target and area, with the request that fetched them."""
     points = market_points(documents.select(payload), payload)
     return points.select(
         F.lit("1.0").alias("schema_version"),
@@ -95,6 +108,7 @@ def market_events(documents: DataFrame, target: str, *, area: str, retrieved_at:
         F.lit(1).alias("revision"),
         F.lit("valid").alias("quality_status"),
         "dimension",
+        *_provenance(source_url, request_params),
         "payload_checksum",
     )
 
@@ -138,7 +152,10 @@ def regional_weather(readings: DataFrame, weights: DataFrame | None = None) -> D
     )
 
 
-def weather_events(regional: DataFrame, *, area: str, retrieved_at: Column, checksum: Column) -> DataFrame:
+def weather_events(
+    regional: DataFrame, *, area: str, retrieved_at: Column, checksum: Column, source_url: str | None = None,
+    request_params: dict[str, str] | None = None,
+) -> DataFrame:
     units = F.create_map(*[F.lit(x) for item in WEATHER_UNITS.items() for x in item])
     return regional.select(
         F.lit("1.0").alias("schema_version"),
@@ -157,10 +174,91 @@ def weather_events(regional: DataFrame, *, area: str, retrieved_at: Column, chec
         F.lit(1).alias("revision"),
         F.lit("valid").alias("quality_status"),
         "dimension",
+        *_provenance(source_url, request_params),
         checksum.alias("payload_checksum"),
     )
 
 
+def market_rejects(documents: DataFrame, payload: str = "payload") -> DataFrame:
+    """Documents that give no point, with their other columns, checksum and ``reason``.
+
+    ``empty`` and ``malformed`` documents, those ``without_series`` (an acknowledgement, say), and those whose series hold
+    ``no_usable_point``: no known resolution, start, position or value.
+    """
+    kept = [F.col(c) for c in documents.columns if c != payload]
+    marked = documents.withColumn("_doc", F.from_xml(payload, DOCUMENT_SCHEMA + ", _corrupt_record string", XML_OPTIONS))
+    # Whether a document gives a point is decided by the parser of points itself, per checksum.
+    checksum = F.sha2(payload, 256)
+    usable = market_points(documents.select(payload), payload).select("payload_checksum").distinct()
+    reason = (
+        F.when(F.col(payload).isNull() | (F.trim(payload) == ""), "empty")
+        .when(F.col("_doc").isNull() | F.col("_doc._corrupt_record").isNotNull(), "malformed")
+        .when(F.coalesce(F.size("_doc.TimeSeries"), F.lit(0)) <= 0, "without_series")
+        .otherwise("no_usable_point")
+    )
+    rows = marked.select(*kept, F.coalesce(checksum, F.lit("")).alias("payload_checksum"), reason.alias("reason"))
+    return rows.join(usable, "payload_checksum", "left_anti")
+
+
+def station_rejects(payloads: DataFrame, weights: DataFrame | None = None, payload: str = "payload") -> DataFrame:
+    """Station documents that add nothing to the regional mean: ``(station, payload_checksum, reason)``.
+
+    ``unknown_station``, ``malformed``, and ``without_hours`` for documents that hold no hour.
+    """
+    known = (station_weights(payloads.sparkSession) if weights is None else weights).select("station", F.lit(True).alias("_known")).distinct()
+    parsed = payloads.withColumn("_d", F.from_json(payload, STATION_PAYLOAD + ", _corrupt_record string"))
+    reason = (
+        F.when(F.col("_known").isNull(), "unknown_station")
+        .when(F.col("_d").isNull() | F.col("_d._corrupt_record").isNotNull(), "malformed")
+        .when(F.coalesce(F.size("_d.hourly.time"), F.lit(0)) <= 0, "without_hours")
+    )
+    marked = parsed.join(known, "station", "left").withColumn("reason", reason).filter(F.col("reason").isNotNull())
+    return marked.select("station", F.sha2(payload, 256).alias("payload_checksum"), "reason")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, line, value)`` of text files: 1-based line numbers, however the files were split.
+
+    A split counts its lines; the sum over the earlier splits of its file is the number its own lines start after.
+    """
+    split = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"))
+    lines = spark.read.text(path).select("value", *split, F.monotonically_increasing_id().alias("_at"))
+    counts = lines.groupBy("file", "_start").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("file", "_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("file", "_start").orderBy("_at")
+    numbered = lines.withColumn("_i", F.row_number().over(inside)).join(before, ["file", "_start"])
+    return numbered.select("file", (F.col("_before") + F.col("_i")).alias("line"), "value")
+
+
+def checked_event_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line that is not blank: ``file, line, raw``, the ``event`` and the ``violations`` of the strict contract (empty: none).
+
+    A line that is no JSON object violates ``malformed`` alone.
+    """
+    lines = numbered_lines(spark, path).filter(F.trim("value") != "").withColumnRenamed("value", "raw")
+    schema = T.StructType([*EVENT_SCHEMA, T.StructField("_corrupt_record", T.StringType())])
+    parsed = lines.withColumn("_e", F.from_json("raw", schema)).select("file", "line", "raw", "_e.*")
+    broken = F.col("_corrupt_record").isNotNull() | ~F.ltrim("raw").startswith("{")
+    checked = contract_violations(parsed, raw="raw").withColumn(
+        "violations", F.when(broken, F.array(F.lit("malformed"))).otherwise(F.col("violations"))
+    )
+    return checked.select("file", "line", "raw", F.struct(*EVENT_SCHEMA.names).alias("event"), "violations")
+
+
+def rejected_event_lines(spark: SparkSession, path: str) -> DataFrame:
+    """All lines that break the contract: ``file, line, raw, violations``."""
+    return checked_event_lines(spark, path).filter(F.size("violations") > 0).select("file", "line", "raw", "violations")
+
+
+def strict_event_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Events of files without a bad line; otherwise the first one is named by file and number (one job that looks for it)."""
+    first = rejected_event_lines(spark, path).orderBy("file", "line").head(1)
+    if first:
+        raise ValueError(f"invalid event in {first[0].file}, line {first[0].line}: {', '.join(first[0].violations)}")
+    return checked_event_lines(spark, path).select("event.*")
+
+
 def read_event_lines(spark: SparkSession, path: str, *, strict: bool = True) -> DataFrame:
     """Events from JSON lines; blank lines are skipped, ``strict`` fails on the first bad line."""
     reader = spark.read.schema(EVENT_SCHEMA).option("mode", "FAILFAST" if strict else "PERMISSIVE")

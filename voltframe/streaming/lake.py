@@ -14,14 +14,16 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltframe.operators import curate
-from voltframe.schemas import MANIFEST_SCHEMA
+from voltframe.operators.forecasts import upsert_by_natural_key
+from voltframe.schemas import FORECAST_SCHEMA, MANIFEST_SCHEMA
+from voltframe.session import durable
+from voltframe.storage import delete, matching, read_text, rename_new, write_text
 
 # Writer numbers: stream batches count from 0, backfills have a number from their run id above this base, compactions negative ones.
 BACKFILL_BASE = 10**12
@@ -59,25 +61,17 @@ class Lake:
     def manifests(self) -> str:
         return self.path("gold", "backfill_manifests")
 
+    @property
+    def forecasts(self) -> str:
+        return self.path("gold", "forecasts")
+
     def checkpoint(self, name: str) -> str:
         return self.path("_checkpoints", name)
 
 
-def _path(spark: SparkSession, name: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(name)
-
-
-def _files(spark: SparkSession, name: str):
-    return _path(spark, name).getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _matching(spark: SparkSession, pattern: str) -> list[str]:
-    return [str(status.getPath()) for status in (_files(spark, pattern).globStatus(_path(spark, pattern)) or [])]
-
-
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """A partitioned Parquet folder, or ``None`` while no rows have been written."""
-    if not _matching(spark, f"{path}/*"):
+    if not matching(spark, f"{path}/*"):
         return None
     try:
         return spark.read.option("mergeSchema", "false").parquet(path)
@@ -100,7 +94,7 @@ def by_day(df: DataFrame, ts: str, name: str) -> DataFrame:
 class Log:
     """What the commit records add up to.
 
-    ``live`` maps a folder ``event_type=.../day=...`` to the (writer, rank) parts that hold its rows; the rank is the number of the
+    ``live`` maps a folder ``event_type=.../day=...`` to the (part, rank) pairs that hold its rows; the rank is the number of the
     commit, for a compacted part that of the last commit it contains. ``written`` are the writers seen, of stream batches all up to
     ``stream``.
     """
@@ -122,13 +116,13 @@ class Log:
             self.written = set(state["written"])
         else:
             self.schema = _merged(self.schema, record["schema"])
-            writer, rank = record["writer"], record["number"]
+            writer, part, rank = record["writer"], record.get("part", record["writer"]), record["number"]
             if 0 <= writer < BACKFILL_BASE:
                 self.stream = max(self.stream, writer)
             else:
                 self.written.add(writer)
             for folder in record["folders"]:
-                self.live.setdefault(folder, []).append([writer, rank])
+                self.live.setdefault(folder, []).append([part, rank])
         self.number = record["number"]
 
     def replaced(self, writer: int, upto: int, folders: list[str]) -> dict[str, Any]:
@@ -153,14 +147,10 @@ def _merged(old: str | None, new: str) -> str:
 
 def read_log(spark: SparkSession, lake: Lake) -> Log:
     """All commits, read from the newest record that holds a whole state."""
-    names = sorted(_matching(spark, f"{lake.commits}/*.json"))
+    names = sorted(matching(spark, f"{lake.commits}/*.json"))
     records: list[dict[str, Any]] = []
     for name in reversed(names):
-        stream = _files(spark, name).open(_path(spark, name))
-        try:
-            records.append(json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-        finally:
-            stream.close()
+        records.append(json.loads(read_text(spark, name)))
         if "state" in records[-1]:
             break
     log = Log()
@@ -173,59 +163,52 @@ def commit(spark: SparkSession, lake: Lake, record: Callable[[Log], dict[str, An
     """Store the next commit record; its number, or ``None`` if ``record`` (given the log so far) declines.
 
     A record is written aside and renamed to its number. The rename fails if somebody else has taken that number; then the
-    record is made anew from the longer log. (Stores must refuse to rename onto an existing file, as HDFS does.)
+    record is made anew from the longer log.
     """
-    jvm = spark._jvm
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(_path(spark, lake.commits).toUri(), spark._jsc.hadoopConfiguration())
-    files = _files(spark, lake.commits)
-    plain = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
     while True:
         log = read_log(spark, lake)
         body = record(log)
         if body is None:
             return None
-        number = log.number + 1
-        aside = _path(spark, f"{lake.commits}/.{uuid.uuid4().hex}")
-        out = files.create(aside, False)
-        out.write(bytearray(json.dumps(body | {"number": number}).encode()))
-        out.close()
-        try:
-            context.rename(aside, _path(spark, f"{lake.commits}/{number:020d}.json"), plain)
+        number, aside = log.number + 1, f"{lake.commits}/.{uuid.uuid4().hex}"
+        write_text(spark, aside, json.dumps(body | {"number": number}))
+        if rename_new(spark, aside, f"{lake.commits}/{number:020d}.json"):
             return number
-        except Py4JJavaError as taken:
-            files.delete(aside, False)
-            if "FileAlreadyExistsException" not in str(taken.java_exception):
-                raise
+        delete(spark, aside)
 
 
 def _folders(spark: SparkSession, lake: Lake, writer: int) -> list[str]:
     base = f"{lake.silver_log}/batch_id={writer}"
-    return sorted(p.split(f"batch_id={writer}/")[1] for p in _matching(spark, f"{base}/event_type=*/day=*"))
+    return sorted(p.split(f"batch_id={writer}/")[1] for p in matching(spark, f"{base}/event_type=*/day=*"))
 
 
 def write_silver(winners: DataFrame, lake: Lake, batch_id: int) -> None:
     """Winners land in (event_type, day) folders and are committed; a business key never leaves its folder.
 
-    Rebalancing gathers each folder into few files and still splits a hot one. A writer that has committed before is skipped.
+    Rebalancing gathers each folder into few files and still splits a hot one. A writer that has committed before is skipped. There is
+    one stream, so its batch numbers name their parts; a backfill may run twice at once, so each attempt has a part of its own and
+    the one that commits first counts.
     """
     spark = winners.sparkSession
     if read_log(spark, lake).has(batch_id):
         return
+    part = batch_id if batch_id < BACKFILL_BASE else BACKFILL_BASE + (uuid.uuid4().int >> 66)
     rows = by_day(winners, "interval_start", "day").hint("rebalance", *FOLDERS)
-    write_batch(rows, lake.silver_log, batch_id, list(FOLDERS))
+    write_batch(rows, lake.silver_log, part, list(FOLDERS))
     schema = T.StructType([f for f in rows.schema if f.name not in FOLDERS]).json()
-    folders = _folders(spark, lake, batch_id)
+    folders = _folders(spark, lake, part)
 
     def record(log: Log) -> dict[str, Any] | None:
         _merged(log.schema, schema)  # refuses a column of another type before anything counts
-        return None if log.has(batch_id) else {"writer": batch_id, "schema": schema, "folders": folders}
+        return None if log.has(batch_id) else {"writer": batch_id, "part": part, "schema": schema, "folders": folders}
 
-    commit(spark, lake, record)
+    if commit(spark, lake, record) is None and part != batch_id:
+        delete(spark, f"{lake.silver_log}/batch_id={part}")
 
 
-def _complete(spark: SparkSession, lake: Lake, log: Log) -> set[int]:
-    """Writers whose folder carries its success marker."""
-    marked = _matching(spark, f"{lake.silver_log}/batch_id=*/_SUCCESS")
+def _complete(spark: SparkSession, lake: Lake) -> set[int]:
+    """Parts whose folder carries its success marker."""
+    marked = matching(spark, f"{lake.silver_log}/batch_id=*/_SUCCESS")
     return {int(p.split("batch_id=")[1].split("/")[0]) for p in marked}
 
 
@@ -249,7 +232,7 @@ def silver_log(spark: SparkSession, lake: Lake) -> DataFrame | None:
     log = read_log(spark, lake)
     if log.number < 0:
         return None
-    done = _complete(spark, lake, log)
+    done = _complete(spark, lake)
     live = {folder: [p for p in parts if p[0] in done] for folder, parts in log.live.items()}
     return _read_parts(spark, lake, log, live)
 
@@ -266,7 +249,7 @@ def compact(spark: SparkSession, lake: Lake) -> int | None:
     also holds the whole state, so that readers need no older ones.
     """
     log = read_log(spark, lake)
-    done = _complete(spark, lake, log)
+    done = _complete(spark, lake)
     waiting = [rank for parts in log.live.values() for writer, rank in parts if writer not in done]
     upto = min([*(rank - 1 for rank in waiting), log.number])
     if upto < 0:
@@ -282,39 +265,30 @@ def compact(spark: SparkSession, lake: Lake) -> int | None:
 
 
 def vacuum(spark: SparkSession, lake: Lake, *, keep: int = 10) -> list[int]:
-    """Delete committed writers' folders that no state since the last ``keep`` commits reads; their numbers.
+    """Delete committed parts that no state since the last ``keep`` commits reads; their numbers.
 
-    Readers that began before those commits must have ended. Folders that were never committed are left to their writers.
+    Readers that began before those commits must have ended. Parts that were never committed are left to their writers.
     """
     log = read_log(spark, lake)
-    names = sorted(_matching(spark, f"{lake.commits}/*.json"))
-    used = {writer for parts in log.live.values() for writer, _ in parts}
-    recent = spark.read.text(names[-keep:], wholetext=True).collect() if names and keep else []
-    for row in recent:
-        record = json.loads(row.value)
-        used.add(record["writer"])
-        used |= {writer for parts in record.get("state", {}).get("live", {}).values() for writer, _ in parts}
-    stored = _complete(spark, lake, log)
-    compactions = _compactions(spark, names)
-    gone = sorted(w for w in stored - used if (w in compactions if w < 0 else log.has(w)))
-    for writer in gone:
-        _files(spark, lake.silver_log).delete(_path(spark, f"{lake.silver_log}/batch_id={writer}"), True)
+    names = sorted(matching(spark, f"{lake.commits}/*.json"))
+    records = [json.loads(row.value) for row in spark.read.text(names, wholetext=True).collect()] if names else []
+    records.sort(key=lambda record: record["number"])
+    committed = {record.get("part", record["writer"]) for record in records}
+    used = {part for parts in log.live.values() for part, _ in parts}
+    for record in records[max(0, len(records) - keep) :] if keep else []:
+        used.add(record.get("part", record["writer"]))
+        used |= {part for parts in record.get("state", {}).get("live", {}).values() for part, _ in parts}
+    gone = sorted((_complete(spark, lake) & committed) - used)
+    for part in gone:
+        delete(spark, f"{lake.silver_log}/batch_id={part}")
     return gone
 
 
-def _compactions(spark: SparkSession, names: list[str]) -> set[int]:
-    """Writers of committed compactions."""
-    if not names:
-        return set()
-    found = (json.loads(row.value)["writer"] for row in spark.read.text(names, wholetext=True).collect())
-    return {writer for writer in found if writer < 0}
-
-
 def run_backfill(spark: SparkSession, lake: Lake, source: str, start: str, end: str) -> str:
     """Merge late rows of ``[start, end)`` into silver once per request; returns the run id."""
     run, _ = curate.backfill_run_id(source, start, end)
     run_id = spark.range(1).select(run.alias("r")).head()[0]
-    if _matching(spark, f"{lake.manifests}/run={run_id}/_SUCCESS"):
+    if matching(spark, f"{lake.manifests}/run={run_id}/_SUCCESS"):
         return run_id
     late = read_table(spark, lake.late)
     if late is None:
@@ -324,15 +298,45 @@ def run_backfill(spark: SparkSession, lake: Lake, source: str, start: str, end:
     lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
     write_silver(curate.backfill_candidates(late.drop("batch_id"), source, lo, hi), lake, writer)
     manifest = curate.backfill_manifest(late, None, source, start, end, F.current_timestamp())
+    # Written aside and renamed: of two runs of one request at once, the first one's manifest stays.
+    aside = f"{lake.manifests}/.{uuid.uuid4().hex}"
     manifest.withColumns(
         {
             "before_snapshot_id": F.lit(str(before) if before >= 0 else None).cast("string"),
             "after_snapshot_id": F.lit(str(read_log(spark, lake).number)),
         }
-    ).select(*MANIFEST_SCHEMA.names).coalesce(1).write.mode("overwrite").parquet(f"{lake.manifests}/run={run_id}")
+    ).select(*MANIFEST_SCHEMA.names).coalesce(1).write.parquet(aside)
+    if not rename_new(spark, aside, f"{lake.manifests}/run={run_id}"):
+        delete(spark, aside)
     return run_id
 
 
+def read_forecasts(spark: SparkSession, lake: Lake) -> DataFrame:
+    """The stored forecasts; empty before the first write. A filter on target or issue day prunes folders."""
+    schema = T.StructType([*FORECAST_SCHEMA, T.StructField("issue_day", T.DateType())])
+    if not matching(spark, f"{lake.forecasts}/target=*"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", lake.forecasts).parquet(lake.forecasts)
+
+
+def store_forecasts(rows: DataFrame, lake: Lake) -> None:
+    """Upsert forecast rows by natural key: the first id of a key survives, later values replace the rest.
+
+    Only the (target, issue day) folders that the rows touch are read and written again, each replaced when the job commits.
+    """
+    spark = rows.sparkSession
+    new = by_day(rows.select(*FORECAST_SCHEMA.names), "issue_time", "issue_day").withColumn("_turn", F.lit(1))
+    new = durable(new)
+    touched = new.select("target", "issue_day").distinct()
+    old = read_forecasts(spark, lake).join(F.broadcast(touched), ["target", "issue_day"], "left_semi").withColumn("_turn", F.lit(0))
+    # Rows written twice in one call settle by their id, so that a repeated run ends alike.
+    merged = upsert_by_natural_key(old.unionByName(new), order=["_turn", "forecast_id"])
+    stored = durable(merged.select(*FORECAST_SCHEMA.names, F.to_date("issue_time").alias("issue_day")))
+    spaced = stored.hint("rebalance", "target", "issue_day")
+    writer = spaced.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("target", "issue_day")
+    writer.parquet(lake.forecasts)
+
+
 def merge_statement(target: str, source: str) -> str:
     """The same upsert for a catalog whose table format supports MERGE."""
     return f"""

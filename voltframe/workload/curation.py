@@ -181,3 +181,16 @@ def source_freshness(t):
 )
 def snapshot_id(t):
     return monitoring.snapshot_id(valid(t), keys=["area", "event_type"])
+
+
+@register(
+    "snapshot_tree",
+    f"""WITH {VALID}, sums AS (SELECT DISTINCT area, event_type, payload_checksum AS s FROM valid),
+    leaves AS (SELECT area, event_type, substr(s, 1, 2) AS leaf, sha256(string_agg(s, '|' ORDER BY s)) AS digest, count(*) AS n FROM sums GROUP BY 1, 2, 3)
+    SELECT area, event_type, 'tree-' || substr(sha256(string_agg(leaf || ':' || digest, '|' ORDER BY leaf)), 1, 20) AS snapshot_id,
+      CAST(sum(n) AS BIGINT) AS checksums FROM leaves GROUP BY 1, 2""",
+)
+def snapshot_tree(t):
+    """Snapshot identity as the root of a digest tree, of which a new payload renews one leaf."""
+    keys = ["area", "event_type"]
+    return monitoring.snapshot_root(monitoring.snapshot_leaves(valid(t), keys=keys, prefix=2), keys=keys, prefix=2)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltframe.functions.timegrid import calendar_columns
 from voltframe.functions.metrics import evaluate as evaluate_columns
-from voltframe.operators import asof, backtest, calibration, evaluate, features, fold_blocks, frames, learners, monitoring, series
+from voltframe.functions.timegrid import calendar_columns, forecast_intervals
+from voltframe.operators import asof, backtest, calibration, evaluate, features, fold_blocks, frames, learners, live, monitoring, series
 from voltframe.session import durable
 from voltframe.workload.history import CALENDAR_SQL
 from voltframe.workload.registry import register
-from voltframe.workload.tables import AREA, DAILY, LEARNERS, PLAN, SERIES, SERIES_KEYS, TYPED
+from voltframe.workload.tables import AREA, DAILY, LEARNERS, NOW, PLAN, SERIES, SERIES_KEYS, TYPED
 
 OVER = "PARTITION BY event_type, area ORDER BY valid_time"
 KEYS = "event_type, area"
@@ -749,6 +749,83 @@ def holdout_eval(t):
     )
 
 
+# --- live chain -------------------------------------------------------------------------------
+
+LIVE_RUN = f"""WITH {LIVE_SQL}, cuts AS (SELECT area, max(valid_time) - INTERVAL 1 DAY AS cut FROM target GROUP BY 1),
+known AS (SELECT t.* FROM target t JOIN cuts USING (area) WHERE valid_time <= cut),
+hours AS (SELECT area, hour(valid_time) AS h, {", ".join(f"avg({c}) AS {c}" for c in DIMS)} FROM weather GROUP BY 1, 2),
+quarter AS (SELECT area, unnest(range(min(valid_time), max(valid_time) + INTERVAL 15 MINUTE, INTERVAL 15 MINUTE)) AS valid_time FROM target GROUP BY 1),
+covered AS (SELECT q.area, q.valid_time, {", ".join(f"h.{c}" for c in DIMS)} FROM quarter q LEFT JOIN hours h ON q.area = h.area AND hour(q.valid_time) = h.h),
+joined AS (SELECT * FROM known LEFT JOIN covered USING (area, valid_time)),
+wide AS (SELECT area, valid_time, target, {", ".join(fill(c) for c in DIMS)}, (valid_time AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Madrid' AS l,
+  lag(target, 672) OVER (PARTITION BY area ORDER BY valid_time) AS lag_672 FROM joined),
+frame AS (SELECT area, valid_time, target, lag_672, {LIVE_CALENDAR}, row_number() OVER (PARTITION BY area ORDER BY valid_time) - 1 AS i,
+  count(*) OVER (PARTITION BY area) AS n FROM wide WHERE lag_672 IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL" for c in DIMS)}),
+usable AS (SELECT *, i >= n - least(288, greatest(96, n // 5)) AS held FROM frame WHERE n >= 480),
+fine AS (SELECT area, hour, is_weekend, quantile_cont(target, [0.1, 0.5, 0.9]) AS f FROM usable WHERE NOT held GROUP BY ALL),
+coarse AS (SELECT area, hour, quantile_cont(target, [0.1, 0.5, 0.9]) AS c FROM usable WHERE NOT held GROUP BY ALL),
+judged AS (SELECT area, target AS actual, lag_672, coalesce(f, c) AS q FROM usable LEFT JOIN fine USING (area, hour, is_weekend)
+  LEFT JOIN coarse USING (area, hour) WHERE held),
+simple AS (SELECT *, q[1] AS p10, q[2] AS p50, q[3] AS p90 FROM judged),
+measured AS (SELECT area, {METRICS.format(wape=WAPE)}, avg(abs(actual - lag_672)) AS baseline_mae FROM simple GROUP BY 1),
+sizes AS (SELECT area, count(*) AS training_rows, min(valid_time) AS training_start, max(valid_time) AS training_end FROM usable GROUP BY 1),
+candidates AS (SELECT *, baseline_mae > 0 AND NOT ((baseline_mae - mae) / baseline_mae < 0.02) AS promoted FROM measured JOIN sizes USING (area))"""
+
+
+def live_run(t) -> live.LiveRun:
+    """The live chain with the seasonal learner, issued a day before the last value of each area.
+
+    The given observations leave most quarter hours without weather, so each gets the mean of its hour of the day.
+    """
+    target, observed = map(durable, live_inputs(t))
+    hours = observed.groupBy("area", F.hour("valid_time").alias("_h")).agg(*[F.avg(c).alias(c) for c in DIMS])
+    axis = target.groupBy("area").agg(F.min("valid_time").alias("a"), F.max("valid_time").alias("b")).select(
+        "area", F.explode(F.sequence("a", "b", F.expr("INTERVAL 15 MINUTES"))).alias("valid_time")
+    )
+    weather = axis.withColumn("_h", F.hour("valid_time")).join(hours, ["area", "_h"], "left").drop("_h")
+    cuts = target.groupBy("area").agg((F.max("valid_time") - F.expr("INTERVAL 1 DAY")).alias("issue_time"))
+    known = target.join(cuts, "area").filter(F.col("valid_time") <= F.col("issue_time")).drop("issue_time")
+    intervals = forecast_intervals(cuts, "demand").select("area", "valid_from", "valid_to")
+    return live.train_and_forecast(
+        known, weather, weather, intervals, lambda: learners.SeasonalQuantileForecaster(keys=["area"]),
+        target="demand", issue_time=F.lit(NOW).cast("timestamp"), version="v1",
+    )
+
+
+@register(
+    "live_candidates",
+    f"""{LIVE_RUN} SELECT area, mae, rmse, wape, mape, interval_coverage, baseline_mae, training_rows, training_start, training_end, promoted,
+      CASE WHEN promoted THEN 'champion' ELSE 'candidate_rejected' END AS status FROM candidates""",
+    digits=8,
+    doubles="mae rmse wape mape interval_coverage baseline_mae",
+)
+def live_candidates(t):
+    """Each area's candidate: validation metrics, lineage of its training rows, outcome of the gate, and the deployment that follows."""
+    run = live_run(t)
+    status = live.released(run.candidates, None).select("area", "status")
+    return run.candidates.join(status, "area").select(
+        "area", "mae", "rmse", "wape", "mape", "interval_coverage", "baseline_mae", "training_rows", "training_start", "training_end", "promoted", "status"
+    )
+
+
+@register(
+    "live_forecast",
+    f"""{LIVE_RUN}, allfine AS (SELECT area, hour, is_weekend, quantile_cont(target, [0.1, 0.5, 0.9]) AS f FROM usable GROUP BY ALL),
+    allcoarse AS (SELECT area, hour, quantile_cont(target, [0.1, 0.5, 0.9]) AS c FROM usable GROUP BY ALL),
+    wanted AS (SELECT area, promoted, time_bucket(INTERVAL 15 MINUTE, cut) + INTERVAL 15 MINUTE * k AS valid_time FROM cuts JOIN candidates USING (area), range(1, 25) r(k)),
+    placed AS (SELECT *, (valid_time AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Madrid' AS l FROM wanted),
+    dated AS (SELECT area, promoted, valid_time, {LIVE_CALENDAR} FROM placed),
+    scored AS (SELECT d.*, coalesce(f, c) AS q FROM dated d LEFT JOIN allfine USING (area, hour, is_weekend) LEFT JOIN allcoarse USING (area, hour))
+    SELECT 'demand' AS target, area, valid_time AS valid_from, valid_time + INTERVAL 15 MINUTE AS valid_to, q[2] AS point, {QUANTILES},
+      'MW' AS unit, 'v1' AS model_version, NOT promoted AS is_shadow FROM scored""",
+    doubles="point p10 p50 p90",
+)
+def live_forecast(t):
+    """Forecast rows of the run: the next 24 quarter hours of each area with enough history, shadow rows where the gate rejects."""
+    rows = live_run(t).forecasts
+    return rows.select("target", "area", "valid_from", "valid_to", "point", "p10", "p50", "p90", "unit", "model_version", "is_shadow")
+
+
 # --- MLlib learners (no SQL counterpart) -----------------------------------------------------
 
 NUMERIC = [c for c in features.ALL_FEATURES if c not in ("quarter", "month", "is_holiday", "rolling_std_4step")]
