@@ -89,7 +89,7 @@ def holed(spark):
 
 def test_features_never_reach_over_a_hole(spark):
     whole, after = holed(spark)
-    make = lambda df, rows: features.history_features(df, keys=["area"], steps_per_day=24, lead=24, rows_per_chunk=rows).orderBy("valid_time").toPandas()
+    make = lambda df, rows: features.history_features(df, keys=["area"], steps_per_day=24, lead=24, rows_per_chunk=rows, segments=True).orderBy("valid_time").toPandas()
     results = [make(whole, rows) for rows in (None, 500, 3000)]
     for other in results[1:]:
         pd.testing.assert_frame_equal(results[0], other, rtol=1e-9)

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from voltframe.operators import artifacts, governance, learners
-from voltframe.schemas import FORECAST_SCHEMA
+from voltframe.operators import artifacts, governance, learners, state
+from voltframe.schemas import BRONZE_SCHEMA, FORECAST_SCHEMA
 from voltframe.sources import payloads
 from voltframe.sources.connectors import bronze_columns
-from voltframe.schemas import BRONZE_SCHEMA
 from voltframe.streaming.breaches import stream_ordered_breaches
 from voltframe.streaming.lake import Lake, read_forecasts, store_forecasts
 
@@ -127,3 +127,20 @@ def test_provenance_and_bronze_layout(spark):
     raw = spark.createDataFrame([("t", 0, 1, START, bytearray(b"k"), bytearray(b"v"))], "topic string, partition int, offset long, timestamp timestamp, key binary, value binary")
     bronze = bronze_columns(raw)
     assert [(f.name, f.dataType) for f in bronze.schema] == [(f.name, f.dataType) for f in BRONZE_SCHEMA] and bronze.head()["raw_payload"] == "v"
+
+
+def test_state_tables_lose_no_update(spark, tmp_path):
+    folder = str(tmp_path / "deployments")
+    assert state.read_state(spark, folder) is None
+    rows = lambda *r: spark.createDataFrame(list(r), "deployment_key string, champion_version string, status string")
+    assert state.update_state(rows(("a", "v1", "champion"), ("b", "v1", "champion")), folder, key="deployment_key") == 0
+    with ThreadPoolExecutor(3) as pool:
+        keys = ["a", "b", "c"]
+        numbers = [f.result(120) for f in [pool.submit(state.update_state, rows((k, "v2", "champion")), folder, key="deployment_key") for k in keys]]
+    assert sorted(numbers) == [1, 2, 3]
+    partial = spark.createDataFrame([("a", "rolled_back")], "deployment_key string, status string")
+    state.update_state(partial, folder, key="deployment_key")
+    got = {r.deployment_key: (r.champion_version, r.status) for r in state.read_state(spark, folder).collect()}
+    assert got == {"a": ("v2", "rolled_back"), "b": ("v2", "champion"), "c": ("v2", "champion")}
+    assert state.read_state(spark, folder, 0).count() == 2
+    assert state.drop_versions(spark, folder, keep=2) == [0, 1, 2] and state.read_state(spark, folder).count() == 3

@@ -96,8 +96,8 @@ class _Chunked:
     the windows below share two sorts (ascending and descending) and no extra shuffle.
     """
 
-    def __init__(self, keys: Sequence[str], chunk: str, day: int, week: int) -> None:
-        self.parts = [F.col(k) for k in (*keys, chunk, "_segment")]
+    def __init__(self, parts: Sequence[str], day: int, week: int) -> None:
+        self.parts = [F.col(p) for p in parts]
         self.day, self.week = day, week
 
     @staticmethod
@@ -202,12 +202,14 @@ def history_features(
     groups: Sequence[str] = ("lag", "ema", "rolling"),
     pos: Column | None = None,
     rows_per_chunk: int | None = None,
+    segments: bool = False,
 ) -> DataFrame:
     """Add lag, EMA and rolling features as known ``lead`` steps before each row.
 
-    ``pos`` defaults to the grid position of ``valid_time``; pass a row index to count rows instead. No window reaches over a hole:
-    the rows between two holes are a segment with a history of its own, so features are null until it is long enough, whatever the
-    chunk size. Two rows at one position are an error.
+    ``pos`` defaults to the grid position of ``valid_time``; pass a row index to count rows instead. The series must be regular, or
+    ``segments`` be set: then no window reaches over a hole, and the rows between two holes are a segment with a history of its own,
+    so features are null until it is long enough, whatever the chunk size. Two rows at one position are then an error. This takes
+    one more sort.
     """
     if lead < 1:
         raise ValueError("lead must be positive")
@@ -220,17 +222,18 @@ def history_features(
         staged, "_pos", before=14 * day + lead - 1, rows_per_chunk=rows_per_chunk
     )
     # One shuffle by (key, chunk) serves every window below.
-    in_turn = Window.partitionBy(*[F.col(k) for k in (*keys, chunk)]).orderBy("_pos")
-    jump = F.col("_pos") - F.lag("_pos").over(in_turn)
-    # A segment is numbered within its chunk, whose halo holds all rows that a window may reach.
-    broken = F.when(jump == 0, F.raise_error(F.lit("two rows of a series at one time")).cast("int")).when(jump > 1, 1).otherwise(0)
-    staged = (
-        staged.repartition(*keys, chunk)
-        .withColumn("_broken", broken)
-        .withColumn("_segment", F.sum("_broken").over(in_turn))
-        .withColumns(_Chunked.blocks(F.col("_pos"), day, week))
-    )
-    windows = _Chunked(keys, chunk, day, week)
+    staged = staged.repartition(*keys, chunk)
+    parts = [*keys, chunk]
+    if segments:
+        in_turn = Window.partitionBy(*parts).orderBy("_pos")
+        jump = F.col("_pos") - F.lag("_pos").over(in_turn)
+        twice = F.raise_error(F.lit("two rows of a series at one time")).cast("int")
+        # A segment is numbered within its chunk, whose halo holds all rows that a window may reach.
+        staged = staged.withColumn("_broken", F.when(jump == 0, twice).when(jump > 1, 1).otherwise(0))
+        staged = staged.withColumn("_segment", F.sum("_broken").over(in_turn))
+        parts.append("_segment")
+    staged = staged.withColumns(_Chunked.blocks(F.col("_pos"), day, week))
+    windows = _Chunked(parts, day, week)
     ema_head, ema_back = windows.head("week"), windows.week_back
     if "ema" in groups and ema_rows != week:
         staged = staged.withColumn("_em", F.floor(F.col("_pos") / ema_rows))
@@ -362,7 +365,7 @@ def horizon_features(
     if refuse_irregular:
         require_regular(df, keys=keys, steps_per_day=steps_per_day, value=value)
     out = (
-        history_features(df, keys=keys, steps_per_day=steps_per_day, lead=lead, value=value)
+        history_features(df, keys=keys, steps_per_day=steps_per_day, lead=lead, value=value, segments=True)
         .withColumns(calendar_columns(F.col("valid_time"), country_code))
         .withColumn("horizon_step", F.lit(lead))
         .withColumnRenamed(value, "target")

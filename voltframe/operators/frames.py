@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from voltframe.functions.timegrid import live_calendar
 from voltframe.operators.series import FILL_LIMIT, forward_fill
 from voltframe.plans.asof import asof_join
-from voltframe.plans.skew import time_bucket, with_halo_chunks, with_row_index
+from voltframe.plans.skew import DAY_MICROS, grid_position, time_bucket, with_halo_chunks, with_row_index
 from voltframe.schemas import WEATHER_DIMENSIONS
 
 DAY_STEPS, WEEK_STEPS = 96, 672
@@ -174,15 +174,10 @@ def dual_training_rows(long_rows: DataFrame, short_rows: DataFrame, *, keys: Seq
 
 
 def seasonal_baselines(df: DataFrame, *, keys: Sequence[str], lead: int, steps_per_day: int) -> DataFrame:
-    """Values one day and one week earlier, never newer than the lead, as equi joins on time."""
-    step = 86_400_000_000 // steps_per_day
-    out = df
-    for name, steps in (("baseline_24h", steps_per_day), ("baseline_7d", 7 * steps_per_day)):
-        shift = F.lit(max(lead, steps) * step)
-        moved = df.select(
-            *keys,
-            F.timestamp_micros(F.unix_micros("valid_time") + shift).alias("valid_time"),
-            F.col("value").alias(name),
-        )
-        out = out.join(moved, [*keys, "valid_time"], "left")
-    return out
+    """Values one day and one week earlier, never newer than the lead; null where that time has no row. One shuffle for both."""
+    shifts = {"baseline_24h": max(lead, steps_per_day), "baseline_7d": max(lead, 7 * steps_per_day)}
+    staged = df.withColumn("_pos", grid_position("valid_time", DAY_MICROS // steps_per_day))
+    staged, chunk, own = with_halo_chunks(staged, "_pos", before=max(shifts.values()))
+    by_time = Window.partitionBy(*keys, chunk).orderBy("_pos")
+    added = {name: F.max("value").over(by_time.rangeBetween(-k, -k)) for name, k in shifts.items()}
+    return staged.withColumns(added).filter(F.col(own)).drop("_pos", chunk, own)

@@ -56,13 +56,13 @@ def start_curation(
     """Curate a raw stream. Lateness is an arrival rule on the data, not a stream watermark.
 
     ``deduplicate_within`` drops replays of the same message seen within that delay; the state it
-    keeps is bounded by the delay.
+    keeps is bounded by the delay and holds a digest per message, whatever its length.
     """
     bronze = bronze_columns(raw)
     if deduplicate_within:
-        bronze = bronze.withWatermark("kafka_timestamp", deduplicate_within).dropDuplicatesWithinWatermark(
-            ["topic", "key", "raw_payload"]
-        )
+        message = F.to_json(F.struct("topic", "key", "raw_payload"))
+        digested = bronze.withColumn("_message", F.sha2(message, 256)).withWatermark("kafka_timestamp", deduplicate_within)
+        bronze = digested.dropDuplicatesWithinWatermark(["_message"]).drop("_message")
     writer = bronze.writeStream.foreachBatch(curator(lake, merge_into)).option(
         "checkpointLocation", lake.checkpoint("silver")
     )
