@@ -81,7 +81,7 @@ def ambiguous_zones(t):
     f"""WITH {HISTORY} SELECT country_code, zone_key, count(*) AS total_records, min(timestamp_utc) AS start_time,
       max(timestamp_utc) AS end_time, min(load) AS min_value, max(load) AS max_value, avg(load) AS mean_value,
       'actual_load' AS dataset_type, 'MW' AS unit FROM newest GROUP BY 1, 2""",
-    digits=4,
+    digits=8,
     doubles="min_value max_value mean_value",
 )
 def series_summary(t):
